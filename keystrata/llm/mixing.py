@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     before, after, every = by_stop.rowsBetween(Window.unboundedPreceding, -1), by_stop.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum(stop).over(before), F.lit(0))) / F.sum("weight").over(after)
     filled = named.withColumn("level", level).withColumn("stops", stop <= F.col("level") * F.col("weight"))
-    # Once a source stays below its stop, so do all after it, and they share its level.
-    rest = F.min(F.when(~F.col("stops"), F.struct(F.col("source_size") / F.col("weight"), F.col("source"), F.col("level")))).over(every)["level"]
+    # Once a source stays below its stop, so do all after it, at the level of the first of them, which is the highest.
+    rest = F.max(F.when(~F.col("stops"), F.col("level"))).over(every)
     held = filled.withColumn("target", F.when(F.col("stops"), stop.cast("double")).otherwise(rest * F.col("weight")))
     return held.select("source", "source_size", "rows", F.least(F.coalesce("target", F.lit(0.0)), stop.cast("double")).alias("target"))
 
