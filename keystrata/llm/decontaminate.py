@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import materialize
+
 #: Words are what is left between these characters; A-Z are lower-cased.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Benchmark words sent to the executors at once.
-PART_WORDS = 2_000_000
+PART_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -160,13 +162,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int =
 
     if len(indexed) < 2:
         return slim.mapInArrow(scan(indexed[0] if indexed else None), schema)
-    # Several parts: each row gets a number of its own, by which its parts' hits meet.
-    rows = slim.withColumn("text", F.col("text"))
-    made = None
-    for part in indexed:
-        one = rows.mapInArrow(scan(part), schema)
-        made = one if made is None else made.unionByName(one)
-    return made.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    # Several parts: rows get a number, frozen by writing it, by which the parts' hits meet.
+    rows = materialize(slim.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row"))), "numbered")
+    numbered = schema.replace(schema.split(",")[0], f"doc_id {dict(rows.dtypes)['doc_id']}", 1)
+    made = rows.mapInArrow(scan(indexed[0]), numbered)
+    for part in indexed[1:]:
+        made = made.unionByName(rows.mapInArrow(scan(part), numbered))
+    put = made.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return put.withColumn("doc_id", F.col("doc_id")["doc_id"])
 
 
 def _arrow(kind: str) -> pa.DataType:

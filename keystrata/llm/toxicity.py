@@ -23,7 +23,6 @@ left out; without training rows of both labels every score is 0.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_texts, remainder
+from .base import map_texts, materialize, remainder
 from .calibration import isotonic
 
 #: Labelled rows of each label that the fit reads, about.
@@ -44,7 +43,6 @@ DRIFT = 0.35
 #: Tokens whose log-odds are closer to those of an unknown token are not kept.
 LEAST = 0.25
 THRESHOLD = 0.3
-_EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 
 def tokens(text: str | None) -> list[str]:
@@ -53,54 +51,51 @@ def tokens(text: str | None) -> list[str]:
 
 
 def sample_labels(docs: DataFrame, labels: DataFrame, label: str, modulus: int, out: int, size: int) -> DataFrame:
-    """``doc_id, label`` of at most about ``size`` training rows of each label, evenly spread; bounded, so it may be broadcast."""
-    rows = labels.where(F.col(label).isNotNull() & (remainder("doc_id", modulus) != out)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
-    for value, n in counts.items():
-        share = F.when(F.col("label") == value, F.lit(min(1 << 30, int((1 << 30) * size / n)))).otherwise(share)
-    return rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 34) < share)
+    """``doc_id, label, weight`` of about ``size`` training rows of each label at most, evenly spread.
+
+    ``weight`` is the number of rows that a sampled row stands for.  The sample's size is bounded, so it may be broadcast.
+    """
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != out)).groupBy("doc_id").agg(F.max(label).alias("label"))
+    share, weight = F.lit(0), F.lit(1.0)
+    for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect():
+        share = F.when(F.col("label") == r.label, F.lit(min(1 << 30, int((1 << 30) * size / r.n)))).otherwise(share)
+        weight = F.when(F.col("label") == r.label, F.lit(max(1.0, r.n / size))).otherwise(weight)
+    return rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 34) < share).withColumn("weight", weight)
+
+
+#: Lengths of the stems, shortest first; documents that a word or stem needs to have a weight of its own.
+STEMS = (4, 5, 6)
+LEAST_DOCS = 3
 
 
 class Model:
     """Token scores, the extreme-value law and the calibration."""
 
-    def __init__(self, docs: list[tuple[list[str], int]]):
+    def __init__(self):
         self.scores: dict[str, float] = {}
-        self.stems: dict[str, float] = {}
+        self.stems: list[dict[str, float]] = [{} for _ in STEMS]
         self.scale, self.size, self.curve = 1.0, 1.0, None
-        toxic = sum(y for _, y in docs)
-        if not 0 < toxic < len(docs):
-            return
-        self._weigh(docs, toxic)
-        self._law([t for t, y in docs if not y])
-        self.curve = isotonic(np.array([self.raw(t) for t, _ in docs]), np.array([y for _, y in docs], float))
-
-    def _weigh(self, docs: list[tuple[list[str], int]], toxic: int) -> None:
-        counts = [Counter(), Counter()]
-        for toks, y in docs:
-            for w in set(toks):
-                counts[y][w] += 1
-        totals = (sum(counts[0].values()), sum(counts[1].values()))
+
+    def weigh(self, counts: dict[int, dict[str, tuple[int, int]]], totals: tuple[int, int]) -> None:
+        """``counts``: by stem length (0: whole words) the clean and toxic documents that hold a word; ``totals``: all such pairs."""
         base = totals[1] / sum(totals)
-        stems: list[dict[str, list[float]]] = [{}, {}]
-        for w in {*counts[0], *counts[1]}:
-            for part, n in zip(stems, (4, 6), strict=True):
-                held = part.setdefault(w[:n], [0, 0])
-                held[0] += counts[0][w]
-                held[1] += counts[1][w]
-        prior = lambda a, b, p: (b + PRIOR * p) / (a + b + PRIOR)
         odds = lambda p: math.log(p / (1 - p)) - math.log(base / (1 - base))
-        four = {s: prior(*x, base) for s, x in stems[0].items()}
-        six = {s: prior(*x, four[s[:4]]) for s, x in stems[1].items()}
-        word = {w: prior(counts[0][w], counts[1][w], six[w[:6]]) for w in {*counts[0], *counts[1]}}
-        # Scores of known words that differ from what their stem says, then of stems, longest first.
-        self.stems = {s: odds(p) for s, p in {**four, **six}.items() if abs(odds(p)) >= LEAST}
-        self.scores = {w: odds(p) for w, p in word.items() if abs(odds(p) - self._stem(w)) >= LEAST}
+        shares: dict[str, float] = {}
+
+        def above(word: str) -> float:
+            return next((shares[word[:n]] for n in reversed(STEMS) if n <= len(word) and word[:n] in shares), base)
+
+        for n in STEMS:
+            shares.update({s: (b + PRIOR * p) / (a + b + PRIOR) for s, (a, b) in counts[n].items() if len(s) == n for p in (above(s),)})
+        self.stems = [{s: odds(p) for s, p in shares.items() if len(s) == n} for n in STEMS]
+        words = {w: odds((b + PRIOR * p) / (a + b + PRIOR)) for w, (a, b) in counts[0].items() for p in (above(w),)}
+        self.scores = {w: x for w, x in words.items() if abs(x - self._stem(w)) >= LEAST}
 
     def _stem(self, word: str) -> float:
-        found = self.stems.get(word[:6])
-        return found if found is not None else self.stems.get(word[:4], 0.0)
+        for n, held in zip(reversed(STEMS), reversed(self.stems), strict=True):
+            if len(word) >= n and word[:n] in held:
+                return held[word[:n]]
+        return 0.0
 
     def score(self, toks: list[str]) -> np.ndarray:
         known, stem = self.scores, self._stem
@@ -110,22 +105,21 @@ class Model:
             cache[w] = found if found is not None else stem(w)
         return np.fromiter((cache[w] for w in toks), float, len(toks)) - DRIFT
 
-    def _law(self, clean: list[list[str]]) -> None:
-        """Scale and size constant of the law of clean text's best segments."""
-        each = np.concatenate([self.score(t) for t in clean] or [np.zeros(0)])
-        if not len(each) or each.max() <= 0 or each.mean() >= 0:
+    def law(self, values: np.ndarray, counts: np.ndarray, best: np.ndarray, lengths: np.ndarray) -> None:
+        """Scale from the scores of clean text and how often they occur; size constant from its texts' best segments."""
+        if not len(values) or values.max() <= 0 or (values * counts).sum() >= 0:
             return
+        share = counts / counts.sum()
         low, high = 0.0, 1.0
         with np.errstate(over="ignore"):
-            while np.exp(high * each).mean() < 1 and high < 64:
+            while (share * np.exp(high * values)).sum() < 1 and high < 64:
                 high *= 2
             for _ in range(50):
                 mid = (low + high) / 2
-                low, high = (mid, high) if np.exp(mid * each).mean() < 1 else (low, mid)
+                low, high = (mid, high) if (share * np.exp(mid * values)).sum() < 1 else (low, mid)
         self.scale = max(high, 1e-3)
-        best = [(max((s for s, _, _ in segments(self.score(t))), default=0.0), len(t)) for t in clean if t]
-        # The mean of exp(-scale * best) * length would be 1 / size for a Gumbel law of maxima.
-        self.size = 1 / max(np.mean([n * math.exp(-self.scale * s) for s, n in best]), 1e-9)
+        # The mean of length * exp(-scale * best) is 1 / size for a Gumbel law of maxima.
+        self.size = 1 / max(float((lengths * np.exp(-self.scale * best)).mean()), 1e-9)
 
     def passages(self, toks: list[str]) -> list[tuple[int, int, float, float]]:
         """Begin, end, score and expected number by chance of every segment expected less than once."""
@@ -169,15 +163,60 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, out: int = 2) -> Model:
-    """Learns from a bounded sample of labelled training rows; their token sets and order come to the driver."""
-    chosen = sample_labels(docs, labels, "toxic", modulus, out, SAMPLE).select(F.col("doc_id").alias("__id"), "label")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    """Learns from a bounded sample of labelled training rows: weights from two thirds, law and calibration from the rest.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only word counts, a histogram of scores and one row of numbers for each sampled document come to the driver.
+    """
+    spark, model = docs.sparkSession, Model()
+    chosen = sample_labels(docs, labels, "toxic", modulus, out, SAMPLE)
+    ids = chosen.select(F.col("doc_id").alias("__id"), F.col("label").cast("int").alias("label"), "weight")
+    third = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(3)) == 0
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    rows = materialize(rows.select("text", "label", "weight", third.alias("third")), "toxic-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (Counter(), Counter())
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(tokens(t)) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["toks", "label"])
-
-    return Model([(r.toks.split(" "), r.label) for r in rows.select("text", F.col("label").cast("int")).mapInArrow(cut, "toks string, label int").toLocalIterator()])
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[label > 0].update(set(tokens(text)))
+        for label, words in enumerate(held):
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.array([label] * len(words), pa.int32())], ["word", "n", "label"])
+
+    parts = rows.where("not third").select("text", "label").mapInArrow(count, "word string, n bigint, label int")
+    of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    words = materialize(parts.groupBy("word").agg(of(0).alias("clean"), of(1).alias("toxic")), "toxic-words")
+    totals = words.agg(F.sum("clean"), F.sum("toxic")).first()
+    if not totals[0] or not totals[1]:
+        return model
+    counts = {}
+    for n in (0, *STEMS):
+        by = words if not n else words.where(F.length("word") >= n).groupBy(F.substring("word", 1, n).alias("word")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        table = by.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).toArrow()
+        counts[n] = dict(zip(table["word"].to_pylist(), zip(table["clean"].to_pylist(), table["toxic"].to_pylist(), strict=True), strict=True))
+    model.weigh(counts, tuple(totals))
+    sent = spark.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins: Counter = Counter()
+        for batch in batches:
+            best, size = [], []
+            for text in batch.column(0).to_pylist():
+                scores = sent.value.score(tokens(text))
+                values, n = np.unique(np.round(scores, 2), return_counts=True)
+                bins.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
+                best.append(max((s for s, _, _ in segments(scores)), default=0.0))
+                size.append(float(len(scores)))
+            yield pa.RecordBatch.from_arrays([pa.array([False] * len(best)), pa.array(best, pa.float64()), pa.array(size, pa.float64())], ["bin", "x", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([True] * len(bins), pa.bool_()), pa.array(list(bins), pa.float64()), pa.array([float(n) for n in bins.values()], pa.float64())], ["bin", "x", "n"])
+
+    seen = rows.where("third and label = 0").select("text").mapInArrow(measure, "bin boolean, x double, n double").toArrow()
+    is_bin, x, n = (seen[c].to_numpy() for c in ("bin", "x", "n"))
+    model.law(x[is_bin], n[is_bin], x[~is_bin & (n > 0)], n[~is_bin & (n > 0)])
+    sent = spark.sparkContext.broadcast(model)
+    raws = map_texts(rows.where("third"), "label int, weight double, raw double", lambda t: (sent.value.raw(tokens(t)),), keep=("label", "weight")).toArrow()
+    if raws.num_rows:
+        model.curve = isotonic(raws["raw"].to_numpy(), raws["label"].to_numpy().astype(float), raws["weight"].to_numpy())
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, out: int = 2) -> DataFrame:
