@@ -78,7 +78,7 @@ def _sum(df: DataFrame) -> list[float] | None:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
     n = df.rdd.getNumPartitions()
-    some = df.coalesce(max(1, int(n**0.5))).mapInArrow(add, "v array<double>")
+    some = df.repartition(max(1, int(n**0.5))).mapInArrow(add, "v array<double>")
     rows = some.collect()
     return [sum(x) for x in zip(*(r.v for r in rows), strict=True)] if rows else None
 

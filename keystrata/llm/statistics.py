@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import zstandard
 
 WINDOW = 5
 CHUNK = 4096
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
 _BLANKS = bytes(range(9, 14)) + b" "
-_MARKS = re.compile(r"[.,;:!?]")
 
 
 def repeat_words(words: list) -> int:
@@ -24,7 +20,7 @@ def repeat_words(words: list) -> int:
     bits = max(1, len(place).bit_length())
     key = ids[: n - WINDOW + 1].copy()
     for k in range(1, WINDOW):
-        if bits * (k + 1) > 63 and bits + int(key.max()).bit_length() > 63:
+        if bits + int(key.max()).bit_length() > 63:
             key = np.unique(key, return_inverse=True)[1].astype(np.int64)
         key = (key << bits) + ids[k : n - WINDOW + 1 + k]
     _, at, counts = np.unique(key, return_inverse=True, return_counts=True)
