@@ -145,7 +145,8 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str |
     none = F.array().cast("array<struct<start:bigint,kind:int,rule:string,end:bigint>>")
     rows = rows.select("doc_id", F.coalesce("findings", none).alias("findings"))
     base = F.filter("findings", lambda x: x["kind"] < len(BASE_RULES))
-    counts = [F.size(F.filter("findings", lambda x, k=r.name: x["rule"] == k)).cast("long").alias(f"n_{r.name}") for r in BASE_RULES]
+    of = lambda kind: F.filter("findings", lambda x: x["kind"] == kind)
+    counts = [F.size(of(i)).cast("long").alias(f"n_{r.name}") for i, r in enumerate(BASE_RULES)]
     return rows.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("findings")).alias("spans"))
 
 
