@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Chunk sizes in bytes: no cut before LEAST, a cut in one of 2**BITS places after it, and one at MOST at the latest.
-LEAST, BITS, MOST = 24, 5, 160
+LEAST, BITS, MOST = 16, 4, 96
 #: Words that a passage of repeated chunks needs.
 LEAST_WORDS = 20
 _PIECE = 1 << 20

@@ -40,6 +40,8 @@ SAMPLE = 12_000
 PRIOR = 2.0
 #: Subtracted from every token's log-odds.
 DRIFT = 0.35
+#: A word scores again after so many other tokens.
+ECHO = 32
 #: Tokens whose log-odds are closer to those of an unknown token are not kept.
 LEAST = 0.25
 THRESHOLD = 0.3
@@ -103,7 +105,12 @@ class Model:
         for w in set(toks):
             found = known.get(w)
             cache[w] = found if found is not None else stem(w)
-        return np.fromiter((cache[w] for w in toks), float, len(toks)) - DRIFT
+        out = np.fromiter((cache[w] for w in toks), float, len(toks)) - DRIFT
+        # A word that was there a moment ago says nothing new: repetition is no evidence.
+        for i in np.flatnonzero(out > 0).tolist():
+            if toks[i] in toks[max(0, i - ECHO) : i]:
+                out[i] = -DRIFT
+        return out
 
     def law(self, values: np.ndarray, counts: np.ndarray, best: np.ndarray, lengths: np.ndarray) -> None:
         """Scale from the scores of clean text and how often they occur; size constant from its texts' best segments."""
