@@ -21,11 +21,11 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20
 #: Fixed limits: sizes in bytes up to which a band holds, then the least and the most ratio.
 BANDS = (
-    (256, 0.0, 2.0),
-    (1024, 1.05, 2.5),
-    (4096, 1.2, 2.8),
-    (16384, 1.4, 3.2),
-    (None, 1.5, 3.8),
+    (256, 0.0, 2.5),
+    (1024, 1.05, 3.0),
+    (4096, 1.2, 3.5),
+    (16384, 1.4, 4.0),
+    (None, 1.5, 4.5),
 )
 #: Share of a text's bytes, in percent, in chunks outside their band that rejects it.
 MOST_OUTSIDE = 50
