@@ -23,9 +23,9 @@ MOST_REPEATED = 20
 BANDS = (
     (256, 0.0, 2.5),
     (1024, 1.05, 3.0),
-    (4096, 1.2, 3.5),
-    (16384, 1.4, 4.0),
-    (None, 1.5, 4.5),
+    (4096, 1.2, 4.0),
+    (16384, 1.4, 5.0),
+    (None, 1.5, 6.0),
 )
 #: Share of a text's bytes, in percent, in chunks outside their band that rejects it.
 MOST_OUTSIDE = 50
