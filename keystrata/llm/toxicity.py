@@ -42,6 +42,8 @@ PRIOR = 2.0
 DRIFT = 0.35
 #: A word scores again after so many other tokens.
 ECHO = 32
+#: Words whose scores a worker keeps at hand.
+MEMO = 200_000
 #: Tokens whose log-odds are closer to those of an unknown token are not kept.
 LEAST = 0.25
 THRESHOLD = 0.3
@@ -70,6 +72,20 @@ STEMS = (4, 5, 6)
 LEAST_DOCS = 3
 
 
+class _Memo(dict):
+    """Scores of words met so far, of a bounded number of words."""
+
+    def __init__(self, score):
+        super().__init__()
+        self.of = score
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = found = self.of(word)
+        return found
+
+
 class Model:
     """Token scores, the extreme-value law and the calibration."""
 
@@ -77,6 +93,10 @@ class Model:
         self.scores: dict[str, float] = {}
         self.stems: list[dict[str, float]] = [{} for _ in STEMS]
         self.scale, self.size, self.curve = 1.0, 1.0, None
+        self.memo: _Memo | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": None}
 
     def weigh(self, counts: dict[int, dict[str, tuple[int, int]]], totals: tuple[int, int]) -> None:
         """``counts``: by stem length (0: whole words) the clean and toxic documents that hold a word; ``totals``: all such pairs."""
@@ -100,12 +120,9 @@ class Model:
         return 0.0
 
     def score(self, toks: list[str]) -> np.ndarray:
-        known, stem = self.scores, self._stem
-        cache: dict[str, float] = {}
-        for w in set(toks):
-            found = known.get(w)
-            cache[w] = found if found is not None else stem(w)
-        out = np.fromiter((cache[w] for w in toks), float, len(toks)) - DRIFT
+        if self.memo is None:
+            self.memo = _Memo(lambda w: self.scores[w] if w in self.scores else self._stem(w))
+        out = np.fromiter(map(self.memo.__getitem__, toks), float, len(toks)) - DRIFT
         # A word that was there a moment ago says nothing new: repetition is no evidence.
         for i in np.flatnonzero(out > 0).tolist():
             if toks[i] in toks[max(0, i - ECHO) : i]:
@@ -152,11 +169,11 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     Each candidate keeps the running sum before and after it; a new one joins back to the nearest earlier candidate
     that began lower, if that one ended lower too.
     """
-    sums = np.cumsum(scores)
+    where = np.flatnonzero(scores > 0)
+    after = np.cumsum(scores)[where]
     held: list[list[float]] = []  # sum before, sum after, begin, end
-    for at in np.flatnonzero(scores > 0).tolist():
-        after = float(sums[at])
-        new = [after - float(scores[at]), after, at, at + 1]
+    for at, low, high in zip(where.tolist(), (after - scores[where]).tolist(), after.tolist(), strict=True):
+        new = [low, high, at, at + 1]
         while True:
             back = len(held) - 1
             while back >= 0 and held[back][0] >= new[0]:
