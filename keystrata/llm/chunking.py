@@ -3,17 +3,17 @@
 A gear hash rolls over the text's UTF-8 bytes; a chunk ends where the hash's low
 bits are zero, within a least and a most size, so where chunks end depends on
 the text nearby only and an insertion moves the cuts around it, not those after
-it.  Chunks are told apart by 128-bit digests.  A chunk whose digest occurs in
-another place is repeated, and runs of repeated chunks are passages.
+it.  Chunks are told apart by 64-bit digests (a passage takes two chunks or
+more, so one chance collision makes none).  A chunk that another document has
+too is repeated, and runs of repeated chunks are passages.
 
 Digests are counted before they are joined, and only those that occur twice or
 more travel back; a digest that very many places share is split by the adaptive
 skew join.
 
 Defined results: null and empty texts have no chunks; a text shorter than the
-least size is one chunk; equal chunks of one document repeat each other, but a
-passage counts only with chunks that another document has too; documents that
-repeat a doc_id are one document.
+least size is one chunk; chunks that only one document has, however often, are
+not repeated; rows of one doc_id are one document; a row without an id is none.
 """
 
 from __future__ import annotations
@@ -84,54 +84,60 @@ def cuts(raw: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, begin, end, words, digest`` of every chunk; begin and end in code points."""
+    """``doc_id, at, digest`` of every chunk; ``at`` packs where it begins, its length and its words, in code points."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                row, begin, end, words, made = [], [], [], [], []
+                row, places, made = [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     if not text:
                         continue
                     raw = text.encode("utf-8", "surrogatepass")
-                    at = cuts(raw)
+                    ends = cuts(raw)
                     data = np.frombuffer(raw, np.uint8)
                     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                     space = (data == 32) | ((data >= 9) & (data <= 13))
                     starts = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
-                    edges = np.array([0, *at])
-                    row += [i] * len(at)
-                    begin.append(points[edges[:-1]])
-                    end.append(points[edges[1:]])
-                    words.append(starts[edges[1:]] - starts[edges[:-1]])
-                    made += [digest(raw[a:b]) for a, b in zip([0, *at], at, strict=False)]
-                put = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), put(begin), put(end), put(words), pa.array(made, pa.binary())], ["doc_id", "begin", "end", "words", "digest"])
+                    edges = np.array([0, *ends])
+                    begin = points[edges[:-1]]
+                    places.append((begin << 16) | ((points[edges[1:]] - begin) << 8) | (starts[edges[1:]] - starts[edges[:-1]]))
+                    row.append(np.full(len(ends), i, np.int32))
+                    made += [digest(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+                put = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(put(row, np.int32))), pa.array(put(places, np.int64)), pa.array(np.array(made, np.uint64).view(np.int64))], ["doc_id", "at", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, begin bigint, end bigint, words bigint, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, at bigint, digest bigint")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """``doc_id, begin, end, words, n_docs, first_doc`` of the chunks that two documents or more have."""
+    """``doc_id, begin, end, words, places, first_doc`` of the chunks that two documents or more have, by document.
+
+    The chunks are cut twice, which costs less than keeping them: once to count digests, summed before they are
+    shuffled, and once to be joined with the digests of several documents.
+    """
     each = chunks(docs)
-    counts = each.groupBy("digest", "doc_id").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 1")
-    return each.join(counts, "digest").drop("digest")
+    counts = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last"), F.count("*").alias("places"))
+    shared = counts.where("first_doc < last").drop("last")
+    rows = each.join(shared, "digest").drop("digest").repartition("doc_id").dropDuplicates(["doc_id", "at"])
+    begin, size = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255))
+    return rows.select("doc_id", begin.alias("begin"), (begin + size).alias("end"), F.col("at").bitwiseAND(F.lit(255)).alias("words"), "places", "first_doc")
 
 
 def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per passage: a run of repeated chunks of one document with ``least_words`` words or more."""
     order = Window.partitionBy("doc_id").orderBy("begin", "end")
-    rows = repeated(docs).distinct().withColumn("fresh", (F.col("begin") != F.coalesce(F.lag("end").over(order), F.lit(-1))).cast("int"))
+    rows = repeated(docs).withColumn("fresh", (F.col("begin") != F.coalesce(F.lag("end").over(order), F.lit(-1))).cast("int"))
     rows = rows.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first_doc").alias("first_doc"), F.max("n_docs").alias("n_docs"))
+    runs = rows.groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first_doc").alias("first_doc"), F.max("places").alias("places"))
     return runs.where(F.col("words") >= least_words).drop("run")
 
 
 def repeated_documents(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per document that holds a repeated passage: how many, their words and characters, their spans, and
-    the least id of a document that shares one."""
+    """One row per document that holds a repeated passage: how many, their words and characters, their spans, the most
+    places that share one of their chunks, and the least id of a document that does."""
     spans = F.transform(F.sort_array(F.collect_list(F.struct("begin", "end"))), lambda x: F.concat_ws(":", x["begin"].cast("string"), x["end"].cast("string")))
-    return passages(docs, least_words).groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.sum("words").alias("repeated_words"), F.sum(F.col("end") - F.col("begin")).alias("repeated_chars"), F.max("n_docs").alias("most_docs"), F.min("first_doc").alias("first_doc"), F.concat_ws(",", spans).alias("spans"))
+    return passages(docs, least_words).groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.sum("words").alias("repeated_words"), F.sum(F.col("end") - F.col("begin")).alias("repeated_chars"), F.max("places").alias("most_places"), F.min("first_doc").alias("first_doc"), F.concat_ws(",", spans).alias("spans"))
