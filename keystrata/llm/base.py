@@ -34,6 +34,13 @@ def _forget(spark: SparkSession, paths: list[str]) -> None:
         pass
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Holds what Python workers take at once to ``rows`` texts, unless the session has a smaller bound."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the driver's interpreter ends."""
     app = spark.sparkContext.applicationId

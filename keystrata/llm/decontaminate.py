@@ -137,59 +137,74 @@ def _windows(docs: DataFrame, part: DataFrame, window: int, shingle: int):
     return context.broadcast(found)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> DataFrame:
-    """``docs`` as ``doc_id`` with ``n_words, spans, items``: word spans of the windows found, and ids of their items."""
-    item = dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<{item}>"
-    slim = docs.select("doc_id", "text")
-    parts = _parts(benchmark)
-    indexed = [_windows(slim, p, window, shingle) for p in parts]
-
-    def scan(which):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = which.value if which else None
-            for batch in batches:
-                counts, spans, items = [], [], []
-                for text in batch.column(1).to_pylist():
-                    words = words_of(text)
-                    found = windows.hits(words) if windows else []
-                    counts.append(len(words))
-                    spans.append([{"begin": a, "end": b} for a, b in dict.fromkeys((a, b) for a, b, _ in found)])
-                    items.append(list(dict.fromkeys(i for _, _, held in found for i in held)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(_arrow(item)))], ["doc_id", "n_words", "spans", "items"])
-
-        return run
+def _found(spans: list[tuple[int, int]], items: list, n_words: int) -> tuple:
+    """Words hit, number and digest of items, verdict."""
+    n_hit, ids = covered(spans), sorted({str(i) for i in items})
+    return n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words
+
+
+def _scan(which, close: bool):
+    """Scans the last column for windows; gives verdicts if the benchmark has one part, else what the parts' scans put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = which.value if which else None
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                found = windows.hits(words) if windows else []
+                spans = list(dict.fromkeys((a, b) for a, b, _ in found))
+                items = list(dict.fromkeys(str(i) for _, _, held in found for i in held))
+                rows.append((len(words), *(_found(spans, items, len(words)) if close else ([{"begin": a, "end": b} for a, b in spans], items))))
+            yield _rows(batch.column(0), rows, close)
+
+    return run
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, spans, items = (batch.column(i).to_pylist() for i in (1, 2, 3))
+        yield _rows(batch.column(0), [(k, *_found([(x["begin"], x["end"]) for x in s], i, k)) for k, s, i in zip(n, spans, items, strict=True)], True)
+
+
+_OPEN = "n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>"
+_CLOSED = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+
+
+def _rows(ids: pa.Array, rows: list[tuple], close: bool) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()) if close else (pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()))
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *(x.split()[0] for x in (_CLOSED if close else _OPEN).split(", "))])
 
+
+def _indexed(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> list:
+    return [_windows(docs, p, window, shingle) for p in _parts(benchmark)]
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, indexed: list | None = None) -> DataFrame:
+    """``docs`` as ``doc_id`` with ``n_words, spans, items``: word spans of the windows found, and ids of their items as text."""
+    slim = docs.select("doc_id", "text")
+    indexed = _indexed(slim, benchmark, window, shingle) if indexed is None else indexed
     if len(indexed) < 2:
-        return slim.mapInArrow(scan(indexed[0] if indexed else None), schema)
+        return slim.mapInArrow(_scan(indexed[0] if indexed else None, False), f"doc_id {dict(docs.dtypes)['doc_id']}, {_OPEN}")
     # Several parts: rows get a number, frozen by writing it, by which the parts' hits meet.
     rows = materialize(slim.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row"))), "numbered")
-    numbered = schema.replace(schema.split(",")[0], f"doc_id {dict(rows.dtypes)['doc_id']}", 1)
-    made = rows.mapInArrow(scan(indexed[0]), numbered)
+    numbered = f"doc_id {dict(rows.dtypes)['doc_id']}, {_OPEN}"
+    made = rows.mapInArrow(_scan(indexed[0], False), numbered)
     for part in indexed[1:]:
-        made = made.unionByName(rows.mapInArrow(scan(part), numbered))
+        made = made.unionByName(rows.mapInArrow(_scan(part, False), numbered))
     put = made.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     return put.withColumn("doc_id", F.col("doc_id")["doc_id"])
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> DataFrame:
     """One row per document: words, words hit, items, the items' digest and the verdict."""
-    found = hits(docs, benchmark, window, shingle)
-    kind = dict(docs.dtypes)["doc_id"]
-    named = found.withColumn("items", F.transform("items", lambda x: x.cast("string")))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, n_words, spans, items = (batch.column(i) for i in range(4))
-            n_hit = [covered([(x["begin"], x["end"]) for x in s]) for s in spans.to_pylist()]
-            ids = [sorted(x) for x in items.to_pylist()]
-            yield pa.RecordBatch.from_arrays([doc, n_words, pa.array(n_hit, pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()), pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words.to_pylist(), strict=True)], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return named.mapInArrow(close, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    slim = docs.select("doc_id", "text")
+    indexed = _indexed(slim, benchmark, window, shingle)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, {_CLOSED}"
+    if len(indexed) < 2:
+        return slim.mapInArrow(_scan(indexed[0] if indexed else None, True), schema)
+    return hits(slim, benchmark, window, shingle, indexed).mapInArrow(_close, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> DataFrame:

@@ -236,10 +236,12 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, out: int = 2) -> M
     seen = rows.where("third and label = 0").select("text").mapInArrow(measure, "bin boolean, x double, n double").toArrow()
     is_bin, x, n = (seen[c].to_numpy() for c in ("bin", "x", "n"))
     model.law(x[is_bin], n[is_bin], x[~is_bin & (n > 0)], n[~is_bin & (n > 0)])
+    sent.destroy()
     sent = spark.sparkContext.broadcast(model)
     raws = map_texts(rows.where("third"), "label int, weight double, raw double", lambda t: (sent.value.raw(tokens(t)),), keep=("label", "weight")).toArrow()
     if raws.num_rows:
         model.curve = isotonic(raws["raw"].to_numpy(), raws["label"].to_numpy().astype(float), raws["weight"].to_numpy())
+    sent.destroy()
     return model
 
 
