@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.widths import byte_used, exact_width_for, float_bits, width_column
-from ..plans.layout import ref_width
-from ..plans.model import Measures, Options, Schema
+from ..plans.layout import field_layouts, ref_width
+from ..plans.model import BuildError, Measures, Options, Schema
+from ..sources.storage import ensure_checkpoints
 
 
 def tuple_key(schema: Schema, exact: bool = True) -> Column:
@@ -37,15 +38,24 @@ def text_dictionary(records: DataFrame, name: str) -> DataFrame:
 
 
 def dense_ids(distinct: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Ids 0, 1, 2, ... in the order of ``by``: places within range partitions plus the rows before each partition."""
-    sorted_rows = distinct.repartitionByRange(*by).sortWithinPartitions(*by)
-    return sorted_rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(_with(distinct.schema, name)) if distinct.columns else distinct
+    """Ids 0, 1, 2, ... in the order of ``by``: the place within a range partition plus the rows in those before it.
 
+    The range partitions are frozen by a checkpoint, so both parts count the same rows.
+    """
+    ensure_checkpoints(distinct.sparkSession)
+    ranged = distinct.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*by)))
+    rows = inside.join(counts.withColumn("__before", before).drop("__n"), "__part")
+    return rows.withColumn(name, (F.col("__k") - 1 + F.col("__before")).cast("bigint")).drop("__part", "__k", "__before")
 
-def _with(schema, name):
-    from pyspark.sql import types as T
 
-    return T.StructType([*schema.fields, T.StructField(name, T.LongType(), False)])
+def remap_table(records: DataFrame, value_id: str = "value_id") -> DataFrame:
+    """``partition, local_id, value_id``: each partition's own numbers for the values it uses, by first address."""
+    used = records.groupBy("partition", value_id).agg(F.min("address").alias("__first"))
+    order = Window.partitionBy("partition").orderBy("__first")
+    return used.withColumn("local_id", (F.row_number().over(order) - 1).cast("bigint")).drop("__first")
 
 
 def distinct_tuples(records: DataFrame, schema: Schema) -> DataFrame:
@@ -92,8 +102,6 @@ def measure(records: DataFrame, schema: Schema, options: Options, binary: bool =
         if f.kind == "text":
             row = records.select(f.name).distinct().agg(F.count("*"), F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0))).first()
             if row[1] >= 2**32:
-                from ..plans.model import BuildError
-
                 raise BuildError(f"{f.name}: the dictionary's texts take 4 GiB or more")
             m.texts[f.name] = (row[0], row[1])
     value = tuple_key(schema)
@@ -115,8 +123,6 @@ def measure(records: DataFrame, schema: Schema, options: Options, binary: bool =
     for name in ("partitions", "most_count", "address_bytes", "narrowed", "most_skip", "remapped", "remap_savings", "remap_entries", "most_remap", "remap_reference_bytes", "last_partition_bytes"):
         setattr(m, name, int(row[name]))
     m.any_trimmed = bool(row.any_trimmed)
-    from ..plans.layout import field_layouts
-
     stride = max((f.offset + f.width for f in field_layouts(schema, m, options.align)), default=0)
     m.last_inline_bytes = int(row["last"]["a"] + row["last"]["count"] * stride)
     return m
