@@ -54,19 +54,32 @@ def key_of(partition: Column, address: Column, bits: int) -> Column:
     return address if bits >= 64 else F.shiftleft(partition, bits).bitwiseOR(address)
 
 
+def integral_div(value: Column, by: int) -> Column:
+    """Exact division of whole numbers, DECIMAL(20,0) included; the result is a BIGINT."""
+    return F.call_function("div", value, F.lit(by).cast("decimal(20,0)"))
+
+
 def decimal_partition_of(key: Column, bits: int) -> Column:
     """For unsigned 64-bit keys held as DECIMAL(20,0), which has no shifts."""
-    return F.floor(key / F.lit(1 << bits).cast("decimal(20,0)")).cast("decimal(20,0)") if bits < 64 else F.lit(0).cast("decimal(20,0)")
+    if bits >= 64:
+        return F.lit(0).cast("decimal(20,0)")
+    return key if bits == 0 else integral_div(key, 1 << bits).cast("decimal(20,0)")
 
 
 def decimal_address_of(key: Column, bits: int) -> Column:
     return (key % F.lit(1 << bits).cast("decimal(20,0)")).cast("decimal(20,0)") if bits < 64 else key
 
 
-def byte_used(address: Column, at: int, binary: bool) -> Column:
-    """Whether byte ``at`` of an address, in memory order, is not zero."""
-    if binary:
+def decimal_key_of(partition: Column, address: Column, bits: int) -> Column:
+    return address if bits >= 64 else (partition * F.lit(1 << bits).cast("decimal(20,0)") + address).cast("decimal(20,0)")
+
+
+def byte_used(address: Column, at: int, kind: str = "bigint") -> Column:
+    """Whether byte ``at`` of an address of type ``kind``, in memory order, is not zero."""
+    if kind == "binary":
         return F.substring(address, at + 1, 1) != F.lit(b"\0")
+    if kind.startswith("decimal"):
+        return (address if at == 0 else integral_div(address, 1 << 8 * at)) % 256 != 0
     return F.shiftrightunsigned(address, 8 * at).bitwiseAND(F.lit(0xFF)) != 0
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.widths import integral_div
+
 SMALL_ROWS = 200_000
 RANGES = 4096
 #: Fixed by what each lookup means: the direction, and whether an equal key is an answer.
@@ -126,17 +128,19 @@ def _range_column(base: DataFrame, probes: DataFrame, partition: str, address: s
     """
     both = base.select(partition, address).unionByName(probes.select(partition, address))
     kinds = dict(base.dtypes)
-    if kinds[partition] not in ("int", "bigint"):
+    whole = lambda c: kinds[c] in ("int", "bigint") or kinds[c] == "decimal(20,0)"
+    if not whole(partition):
         return None
-    narrow = kinds[address] in ("int", "bigint")
+    narrow = whole(address)
     row = both.agg(F.min(partition).alias("lo"), F.max(partition).alias("hi"), *([F.min(address).alias("alo"), F.max(address).alias("ahi")] if narrow else [])).first()
     if row.lo is None:
         return None
-    if row.lo == row.hi and narrow:
-        step = (int(row.ahi) - int(row.alo)) // RANGES + 1
-        return F.floor((F.col(address) - F.lit(row.alo)) / F.lit(step))
-    step = (int(row.hi) - int(row.lo)) // RANGES + 1
-    return F.floor((F.col(partition) - F.lit(row.lo)) / F.lit(step))
+    name, lo, hi = (address, row.alo, row.ahi) if row.lo == row.hi and narrow else (partition, row.lo, row.hi)
+    if lo is None:
+        return None
+    step = (int(hi) - int(lo)) // RANGES + 1
+    ahead = F.col(name).cast("decimal(20,0)") - F.lit(int(lo)).cast("decimal(20,0)") if kinds[name] == "decimal(20,0)" or int(hi) - int(lo) >= 2**62 else F.col(name) - F.lit(int(lo))
+    return integral_div(ahead, step) if step > 1 or kinds[name] == "decimal(20,0)" else ahead.cast("bigint")
 
 
 def _windowed(probes: DataFrame, base: DataFrame, how: str, payload: list[str], key: list[str], prefix: str) -> DataFrame:

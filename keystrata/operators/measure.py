@@ -62,9 +62,10 @@ def distinct_tuples(records: DataFrame, schema: Schema) -> DataFrame:
     return records.select(*schema.names).distinct()
 
 
-def directory(records: DataFrame, schema: Schema, binary: bool = False, width: int = 8, value: Column | None = None) -> DataFrame:
+def directory(records: DataFrame, schema: Schema, width: int = 8, value: Column | None = None) -> DataFrame:
     """One row per partition: count, distinct value tuples, skip and width of the address bytes it uses."""
-    used = [F.max(byte_used(F.col("address"), i, binary).cast("int")) for i in range(width)]
+    kind = dict(records.dtypes)["address"]
+    used = [F.max(byte_used(F.col("address"), i, kind).cast("int")) for i in range(width)]
     value = tuple_key(schema) if value is None else value
     # Distinct tuples by two plain aggregations: no partition's tuples meet in one buffer.
     tuples = records.select("partition", value.alias("v")).groupBy("partition", "v").agg(F.count("*").alias("c")).groupBy("partition").agg(F.count("*").alias("distinct"))
@@ -109,7 +110,7 @@ def measure(records: DataFrame, schema: Schema, options: Options, binary: bool =
     if options.emulate_give_up and m.records >= options.dedup_sample and m.distinct > options.dedup_ratio * m.records:
         m.dedup_abandoned, m.distinct = True, m.records
     ref = ref_width(m.distinct)
-    slots = with_remap(directory(records, schema, binary, m.address_width if binary else 8), ref, options.remap)
+    slots = with_remap(directory(records, schema, m.address_width if binary else 8), ref, options.remap)
     width, skip = (F.col("width"), F.col("skip")) if options.trim else (F.lit(m.address_width), F.lit(0))
     local = F.when(F.col("remap_width") > 0, F.col("remap_width")).otherwise(F.lit(ref))
     entries = F.when(F.col("remap_width") > 0, F.col("distinct")).otherwise(F.lit(0))

@@ -313,7 +313,7 @@ def address_trim(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"SELECT {', '.join(f'bool_or((a >> {8 * i}) & 255 <> 0) AS byte{i}' for i in range(4))} FROM ({_TRIM})")
 def bytes_used(spark: SparkSession, d: str) -> DataFrame:
     a = F.when(F.col("partition") % 2 == 0, F.shiftleft("address", 16)).otherwise(F.col("address"))
-    return _orders(spark, d).select(a.alias("address")).agg(*(F.bool_or(byte_used(F.col("address"), i, False)).alias(f"byte{i}") for i in range(4)))
+    return _orders(spark, d).select(a.alias("address")).agg(*(F.bool_or(byte_used(F.col("address"), i)).alias(f"byte{i}") for i in range(4)))
 
 
 @_query("SELECT n AS partitions, m + 1 AS span, (m + 1 <= 1048576 AND m + 1 <= 4 * n + 16) AS dense, CASE WHEN m + 1 <= 1048576 AND m + 1 <= 4 * n + 16 THEN m + 1 ELSE n END AS slots FROM (SELECT count(DISTINCT o_orderkey >> 8) AS n, max(o_orderkey >> 8) AS m FROM orders)")

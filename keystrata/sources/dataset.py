@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.widths import address_of, key_of, partition_of
+from ..functions.widths import address_of, decimal_address_of, decimal_key_of, decimal_partition_of, key_of, le_bytes_to_long, partition_of, trimmed
 from ..operators import lookup, measure
 from ..plans.layout import FieldLayout, Report, decide
 from ..plans.model import NO_KEY_SPACE, SPARK_TYPES, BuildError, FormatError, Key, Options, Schema, Status
@@ -37,6 +37,11 @@ class Built:
         """Distinct value tuples with dense ids in the tuples' order."""
         return measure.dense_ids(measure.distinct_tuples(self.records, self.schema), self.schema.names, "value_id")
 
+    def view(self, name: str) -> DataFrame:
+        """Keeps the records in memory, spilling to disk, under a name for SQL."""
+        self.records.persist().createOrReplaceTempView(name)
+        return self.records
+
     def write(self, path: str, dry_run: bool = False, most_bytes: int | None = None) -> Report:
         """Writes the dataset; with ``dry_run`` only the report is made, with ``most_bytes`` a larger image is refused."""
         if most_bytes is not None and self.report.image_bytes > most_bytes:
@@ -55,7 +60,7 @@ class Built:
                 cond = cond & c
             rows = rows.join(values, cond).select("partition", "address", "value_id")
         rows.repartitionByRange("partition", "address").sortWithinPartitions("partition", "address").write.mode("overwrite").parquet(f"{path}/records")
-        slots = measure.directory(self.records, self.schema, binary, self.report.address_width if binary else 8)
+        slots = measure.directory(self.records, self.schema, self.report.address_width if binary else 8)
         measure.with_remap(slots, self.report.ref_width, self.options.remap).write.mode("overwrite").parquet(f"{path}/directory")
         write_json(spark, f"{path}/manifest", {
             "format": MAGIC, "version": VERSION, "schema": self.schema.to_dict(), "key": asdict(self.key), "address_bits": self.key.bits if self.key.has_mapping else NO_KEY_SPACE,
@@ -68,11 +73,18 @@ def _default(kind: str, width: int) -> Column:
     return {"text": F.lit(""), "bytes": F.lit(b"\0" * width)}.get(kind, F.lit(0))
 
 
+def _split_key(df: DataFrame, column: str, bits: int) -> tuple[Column, Column]:
+    """Partition and address of a key: BIGINT, or DECIMAL(20,0) for unsigned keys of 2^63 and above."""
+    whole = F.col(column)
+    if dict(df.dtypes)[column] == "decimal(20,0)":
+        return decimal_partition_of(whole, bits), decimal_address_of(whole, bits)
+    return partition_of(whole, bits).cast("bigint"), address_of(whole, bits).cast("bigint")
+
+
 def place(df: DataFrame, key: Key) -> tuple[Column, Column]:
     """The partition and address columns of a key."""
     if key.mode == "keyed":
-        whole = F.col(key.columns[0])
-        return partition_of(whole, key.bits).cast("bigint"), address_of(whole, key.bits).cast("bigint")
+        return _split_key(df, key.columns[0], key.bits)
     return F.col(key.columns[0]), F.col(key.columns[1])
 
 
@@ -186,27 +198,49 @@ class Dataset:
         f = self.schema.find(name)
         return F.col(name) if f is not None and f.kind == kind else F.lit(None).cast(SPARK_TYPES[kind]).alias(name)
 
+    @property
+    def address_type(self) -> str:
+        return dict(self.spark.read.parquet(f"{self.path}/records").dtypes)["address"]
+
     def key_column(self) -> Column:
         """The whole key; null where there is no key space."""
-        return key_of(F.col("partition"), F.col("address"), self.key.bits) if self.has_key_mapping else F.lit(None).cast("bigint")
+        if not self.has_key_mapping:
+            return F.lit(None).cast("bigint")
+        join = decimal_key_of if self.address_type.startswith("decimal") else key_of
+        return join(F.col("partition"), F.col("address"), self.key.bits)
+
+    def stored(self) -> DataFrame:
+        """Records with ``skip`` and ``stored``, the stretch of the address that their partition keeps."""
+        slots = self.directory().select("partition", "skip", "width")
+        rows = self.records().join(slots, "partition")
+        return rows.withColumn("stored", trimmed(F.col("address"), F.col("skip"), F.col("width"), not self.narrow_address)).drop("width")
 
     def scan(self, reverse: bool = False) -> DataFrame:
         order = [F.col(c).desc() if reverse else F.col(c).asc() for c in ("partition", "address")]
         return self.records().orderBy(*order)
 
     def _probes(self, probes: DataFrame, key: str | None) -> DataFrame:
-        if key is None:
-            return probes
-        if not self.has_key_mapping:
-            return probes.withColumns({"partition": F.lit(None).cast("bigint"), "address": F.lit(None).cast("bigint" if self.narrow_address else "binary")})
-        return probes.withColumns({"partition": partition_of(F.col(key), self.key.bits).cast("bigint"), "address": address_of(F.col(key), self.key.bits).cast("bigint")})
+        """``probes`` with a partition and an address of the dataset's types; null where the probe can be no address of it.
+
+        A key column asks nothing of a dataset without key space, a number nothing of byte addresses, a byte string
+        of another length nothing at all; bytes asked of numbers are little-endian.
+        """
+        mine = self.address_type
+        if key is not None:
+            if not self.has_key_mapping:
+                return probes.withColumns({"partition": F.lit(None).cast("bigint"), "address": F.lit(None).cast(mine)})
+            p, a = _split_key(probes, key, self.key.bits)
+            probes = probes.withColumns({"partition": p, "address": a})
+        given = dict(probes.dtypes)["address"]
+        if given == "binary" and mine == "binary":
+            return probes.withColumn("address", F.when(F.octet_length("address") == self.address_width, F.col("address")))
+        if given == "binary":
+            return probes.withColumn("address", le_bytes_to_long(F.col("address"), self.address_width).cast(mine))
+        return probes.withColumn("address", F.lit(None).cast("binary")) if mine == "binary" else probes.withColumn("address", F.col("address").cast(mine))
 
     def find(self, probes: DataFrame, key: str | None = None) -> DataFrame:
         """Exact match of a key column, or of partition and address columns; misses give null fields."""
-        probes, rows = self._probes(probes, key), self.records()
-        if dict(probes.dtypes)["address"] == "binary" and self.narrow_address or dict(probes.dtypes)["address"] != "binary" and not self.narrow_address:
-            return probes.select("*", *(F.lit(None).cast(t).alias(n) for n, t in rows.dtypes if n in self.schema.names))
-        return lookup.find(probes, rows, ["partition", "address"])
+        return lookup.find(self._probes(probes, key), self.records(), ["partition", "address"])
 
     def contains(self, probes: DataFrame, key: str | None = None) -> DataFrame:
         return lookup.contains(self._probes(probes, key), self.records(), ["partition", "address"])
@@ -215,11 +249,7 @@ class Dataset:
         return lookup.missing(self._probes(probes, key), self.records(), ["partition", "address"])
 
     def as_of(self, probes: DataFrame, how: str, key: str | None = None, prefix: str = "got_", **more) -> DataFrame:
-        probes = self._probes(probes, key)
-        if not self.narrow_address and dict(probes.dtypes)["address"] == "binary":
-            # A byte string of another length than the dataset's is no address of it.
-            probes = probes.withColumn("address", F.when(F.octet_length("address") == self.address_width, F.col("address")))
-        return lookup.as_of(probes, self.records(), how, self.schema.names, prefix=prefix, **more)
+        return lookup.as_of(self._probes(probes, key), self.records(), how, self.schema.names, prefix=prefix, **more)
 
     def floor(self, probes: DataFrame, key: str | None = None, **more) -> DataFrame:
         return self.as_of(probes, "floor", key, **more)
@@ -307,6 +337,12 @@ class TypedKey:
         p, a = self.split(*(F.col(c) for c in columns))
         return df.withColumns({"partition": p, "address": a})
 
+    def build(self, df: DataFrame, columns: list[str], schema: Schema, options: Options = Options()) -> Built:  # noqa: B008
+        """Builds from user keys; the address's type says whether it is a number or bytes."""
+        placed = self.probes(df, *columns)
+        mode = "wide" if dict(placed.dtypes)["address"] == "binary" else "split"
+        return build(placed, Key(mode, ("partition", "address")), schema, options)
+
     def key(self) -> Column:
         if self.join is None:
             raise BuildError("the key has no join")

@@ -192,3 +192,55 @@ def test_stream_lookup(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select * from found where country is not null").count() == 100
+
+
+def test_bytes_asked_of_numbers_are_little_endian(spark, tmp_path):
+    df = spark.createDataFrame([(3, 0x0201, 7), (3, 0x0301, 8)], "p bigint, a bigint, v bigint")
+    build(df, split("p", "a"), Schema.of(v="uint")).write(str(tmp_path))
+    d = open_dataset(spark, str(tmp_path))
+    probes = spark.createDataFrame([(3, bytearray(b"\x01\x02")), (3, bytearray(b"\x01\x02\x00"))], "partition bigint, address binary")
+    assert sorted((r.v or 0) for r in d.find(probes).collect()) == [0, 7]
+    assert d.contains(probes).count() == 1 and d.missing(probes).count() == 1
+
+
+def test_unsigned_keys_beyond_the_signed_range(spark, tmp_path):
+    keys = [0, 5, 2**63 - 1, 2**63, 2**64 - 2**32, 2**64 - 1]
+    df = spark.createDataFrame([(str(k), i) for i, k in enumerate(keys)], "k string, v bigint").select(F.col("k").cast("decimal(20,0)").alias("k"), "v")
+    for bits in (0, 1, 32, 64):
+        path = str(tmp_path / str(bits))
+        b = build(df, keyed("k", bits), Schema.of(v="uint"))
+        b.write(path)
+        d = open_dataset(spark, path, verify=True)
+        assert sorted(int(r.k) for r in d.records().select(d.key_column().alias("k")).collect()) == keys
+        probes = spark.createDataFrame([(str(q),) for k in keys for q in (max(k - 1, 0), k, min(k + 1, 2**64 - 1))], "q string").select(F.col("q").cast("decimal(20,0)").alias("q")).distinct()
+        for how in ("floor", "ceil", "upper_bound"):
+            for r in d.as_of(probes, how, "q").collect():
+                q = int(r.q)
+                want = {"floor": max((k for k in keys if k <= q), default=None), "ceil": min((k for k in keys if k >= q), default=None), "upper_bound": min((k for k in keys if k > q), default=None)}[how]
+                assert r.got_v == (None if want is None else keys.index(want)), (bits, how, q)
+
+
+def test_stored_stretch_view_and_typed_build(spark, tmp_path):
+    df = spark.createDataFrame([(i, i << 16, i) for i in range(1, 300)], "p bigint, a bigint, v bigint").withColumn("p", F.lit(0).cast("bigint"))
+    b = build(df, split("p", "a"), Schema.of(v="uint"))
+    b.write(str(tmp_path))
+    d = open_dataset(spark, str(tmp_path))
+    assert {(r.skip, r.stored == r.v) for r in d.stored().collect()} == {(2, True)}
+    b.view("kept")
+    assert spark.sql("select count(*) from kept").first()[0] == 299
+    t = TypedKey(lambda ip: (F.conv(F.hex(F.substring(ip, 1, 1)), 16, 10).cast("bigint") % 8, F.substring(ip, 2, 15)))
+    rng = random.Random(777)
+    ips = spark.createDataFrame([(bytearray(rng.randbytes(16)), i) for i in range(50)], "ip binary, v bigint")
+    t.build(ips, ["ip"], Schema.of(v="uint")).write(str(tmp_path / "w"))
+    w = open_dataset(spark, str(tmp_path / "w"), verify=True)
+    assert {r.v for r in w.find(t.probes(ips.select("ip"), "ip")).collect()} == set(range(50))
+
+
+def test_same_records_in_every_layout(spark, tmp_path):
+    df = countries(spark, 400, 30)
+    rows = []
+    for i, (key, o) in enumerate((k, o) for k in (keyed("key", 8), keyed("key", 64)) for o in (Options(interning="always"), Options(interning="never", trim=False), Options(interning="always", remap=False, align=True))):
+        build(df, key, COUNTRY, o).write(str(tmp_path / str(i)))
+        d = open_dataset(spark, str(tmp_path / str(i)))
+        rows.append(sorted(d.records().select(d.key_column().alias("key"), *COUNTRY.names).collect()))
+    assert all(r == rows[0] for r in rows) and len(rows[0]) == 400
