@@ -80,22 +80,22 @@ class Ledger:
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> int:
         """Scans the blobs of ``versions`` for the pairs the ledger lacks; gives the number of pairs scanned."""
         run = uuid.uuid4().hex
-        body = F.coalesce(F.col(text), F.lit(""))
-        blobs = versions.select(blob_of(F.col(text)).alias("blob"), body.alias("body")).groupBy("blob").agg(F.first("body").alias("body"))
-        known = self.scanned().groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("known"))
         todo = F.array(*(F.lit(f"{r.name}@{r.version}") for r in rules))
-        due = F.array_except(todo, F.coalesce(F.col("known"), F.array().cast("array<string>")))
-        fresh = self._empty()
-        if not fresh:
-            blobs = blobs.join(known, "blob", "left").withColumn("due", due).where(F.size("due") > 0)
+        bodies = versions.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+        if self._empty():
+            blobs = bodies.groupBy("blob").agg(F.first("body").alias("body")).withColumn("due", todo)
         else:
-            blobs = blobs.withColumn("due", todo)
+            # Addresses meet the ledger first; only texts of blobs with a pair due go on.
+            known = self.scanned().groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("known"))
+            due = F.array_except(todo, F.coalesce(F.col("known"), F.array().cast("array<string>")))
+            pending = bodies.select("blob").distinct().join(known, "blob", "left").select("blob", due.alias("due")).where(F.size("due") > 0)
+            blobs = bodies.join(pending, "blob").groupBy("blob").agg(F.first("body").alias("body"), F.first("due").alias("due"))
         hits = F.filter(F.array(*(self._hits(r) for r in rules)), lambda x: F.size(x["hit"]) > 0)
         # One pass over each text: its pairs become rows with no match, its matches rows of lengths; the text stays behind.
         none = F.array().cast("array<struct<rule:string,version:int,hit:array<struct<gap:int,len:int,ok:boolean>>>>")
-        pending = fresh_path(self.spark, "scan")
-        blobs.select("blob", "due", F.coalesce(hits, none).alias("hits")).write.parquet(pending)
-        done = self.spark.read.parquet(pending)
+        lengths = fresh_path(self.spark, "scan")
+        blobs.select("blob", "due", F.coalesce(hits, none).alias("hits")).write.parquet(lengths)
+        done = self.spark.read.parquet(lengths)
         each = done.select("blob", F.explode("hits").alias("h")).select("blob", F.col("h.rule"), F.col("h.version"), F.posexplode("h.hit").alias("at", "m"))
         order = Window.partitionBy("blob", "rule", "version").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
         end = F.sum((F.col("m.gap") + F.col("m.len")).cast("long")).over(order)
