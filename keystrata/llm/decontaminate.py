@@ -137,10 +137,14 @@ def _windows(docs: DataFrame, part: DataFrame, window: int, shingle: int):
     return context.broadcast(found)
 
 
+def _verdict(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
 def _found(spans: list[tuple[int, int]], items: list, n_words: int) -> tuple:
     """Words hit, number and digest of items, verdict."""
     n_hit, ids = covered(spans), sorted({str(i) for i in items})
-    return n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words
+    return n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), _verdict(n_hit, n_words)
 
 
 def _scan(which, close: bool):
@@ -208,6 +212,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> DataFrame:
-    """``docs`` without contaminated documents, all columns kept."""
-    bad = contamination(docs, benchmark, window, shingle).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """``docs`` without its contaminated rows, all columns kept; each row is judged by its own text, whatever its id."""
+    indexed = _indexed(docs.select("doc_id", "text"), benchmark, window, shingle)
+    if not indexed:
+        return docs
+    if len(indexed) > 1:
+        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        slim = rows.select(F.col("__row").alias("doc_id"), "text")
+        bad = hits(slim, benchmark, window, shingle, indexed).mapInArrow(_close, f"doc_id bigint, {_CLOSED}").where("contaminated").select("doc_id")
+        return rows.join(bad.withColumnRenamed("doc_id", "__bad"), F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+    which, at = indexed[0], docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = which.value
+        for batch in batches:
+            clean = []
+            for text in batch.column(at).to_pylist():
+                words = words_of(text)
+                clean.append(not _verdict(covered([(a, b) for a, b, _ in windows.hits(words)]), len(words)))
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -53,10 +53,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * votes > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (signed 64-bit) for every row."""
-    kind = dict(docs.dtypes)["doc_id"]
-    return map_texts(docs, f"doc_id {kind}, fp bigint", lambda text: (fingerprint(text, shingle),))
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``fp`` (signed 64-bit) for every row."""
+    kinds = dict(docs.dtypes)
+    return map_texts(docs, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "fp bigint"]), lambda text: (fingerprint(text, shingle),), keep)
 
 
 def plan(count: int, distance: int = 3) -> int:
@@ -135,15 +135,15 @@ def link(fps: DataFrame, distance: int = 3) -> DataFrame:
     return links
 
 
-def groups(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``."""
-    marked = materialize(fingerprints(docs, shingle), "fingerprints")
+def groups(docs: DataFrame, shingle: int = 3, distance: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` with ``fp, root, component_id`` for every row of ``docs``; ``root`` tells components apart."""
+    marked = materialize(fingerprints(docs, shingle, keep), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(link(nodes.select("fp"), distance))
     of = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(named, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = of.join(named, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select(*keep, "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -152,6 +152,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one whose id is least; of rows with one id, one stays."""
-    kept = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: that of the least id (null comes last), then of the least text digest.
+
+    Rows of different components all stay, also those that share an id or have none.
+    """
+    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("digest").alias("__d"))
+    rows = groups(slim, keep=("doc_id", "digest")).groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    kept = rows.groupBy("root").agg(F.min(F.struct(first.alias("first"), "n")).alias("x")).select("x.first.__id", "x.first.__d", "x.n")
+    kept = materialize(kept, "kept")
+    left = docs.withColumn("__digest", F.xxhash64("text"))
+    left = left.join(kept, left.doc_id.eqNullSafe(kept["__id"]) & (left["__digest"] == kept["__d"]), "left_semi")
+    # Rows that are alike in id and text meet in another shuffle, which is left out where there are none.
+    if not kept.where("n > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "__digest"])
+    return left.drop("__digest")

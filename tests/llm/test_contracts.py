@@ -506,5 +506,24 @@ def test_repeated_rows_and_null_ids(spark):
     assert abs(sum(r.taken for r in mixed) - sum(len((t or "").split()) for _, t, *_ in rows)) <= 2
 
 
+@pytest.mark.parametrize("part", [decontaminate.PART_WORDS, 20])
+def test_filters_judge_rows_not_ids(spark, monkeypatch, part):
+    """Rows that share an id, or have none, stay or go by their own texts."""
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part)
+    rng = random.Random(12)
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(5)]
+    ids = [None, None, 7, 7, 3]
+    rows = [(i, t, None, "a") for i, t in zip(ids, texts, strict=True)] + [(9, texts[2], None, "b"), (3, texts[4], None, "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = Counter((r.doc_id, r.text) for r in simhash.deduplicate(df).collect())
+    assert kept == Counter(zip(ids, texts, strict=True))
+    bench = spark.createDataFrame([(1, texts[1]), (2, texts[3])], "item_id bigint, text string")
+    clean = decontaminate.decontaminate(df, bench)
+    assert clean.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((i, t) for i, t, *_ in rows if t not in (texts[1], texts[3]))
+    assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
+    assert decontaminate.decontaminate(df, bench.limit(0)).count() == len(rows)
+
+
 def test_base_reads_the_shared_folder_from_the_session(spark):
     assert base.shared_dir(spark) == "/tmp/checkpoints"
