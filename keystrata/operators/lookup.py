@@ -8,6 +8,9 @@ as-of joins with two ways to run:
 * any other base is put next to the probes by window over ranges of keys, and a
   range without an answer takes it from the nearest range that has one.  Ranges
   are at most ``RANGES``, so the table of their ends stays small at any size.
+  They are of equal width where that spreads the rows well enough, and cut at
+  the keys' quantiles where keys bunch.  Windows run with the lookup's
+  direction, so each row is looked at once.
 
 Probes that repeat a key are answered once and joined back, so a key that very
 many probes ask for does not fill one range.
@@ -23,9 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.widths import integral_div
+from ..sources.storage import ensure_checkpoints
 
 SMALL_ROWS = 200_000
 RANGES = 4096
+#: A range of equal width may hold so many rows, or so many times its even share; fuller ones make the ranges quantiles.
+FULL_ROWS, FULL_SHARE = 1 << 20, 4
 #: Fixed by what each lookup means: the direction, and whether an equal key is an answer.
 WAYS = {"floor": (True, True), "ceil": (False, True), "lower_bound": (False, True), "upper_bound": (False, False)}
 
@@ -72,11 +78,11 @@ def as_of(probes: DataFrame, base: DataFrame, how: str, fields: list[str], parti
     key = [partition, address]
     if not repeats:
         return _windowed(probes, slim, how, payload, key, prefix)
-    asked = probes.select(*key).distinct()
+    asked = probes.select(*key).where(F.col(partition).isNotNull() & F.col(address).isNotNull()).distinct()
     answers = _windowed(asked, slim, how, payload, key, prefix)
     back = answers.select(*(F.col(k).alias(f"__{k}") for k in key), *(F.col(f"{prefix}{c}").alias(f"{prefix}{c}") for c in payload)) if prefix else answers
     if prefix:
-        cond = probes[partition].eqNullSafe(back[f"__{partition}"]) & probes[address].eqNullSafe(back[f"__{address}"])
+        cond = (probes[partition] == back[f"__{partition}"]) & (probes[address] == back[f"__{address}"])
         return probes.join(back, cond, "left").drop(*(f"__{k}" for k in key))
     return probes.join(back, key, "left")
 
@@ -121,65 +127,74 @@ def _search(probes: DataFrame, base: DataFrame, how: str, payload: list[str], pa
     return probes.mapInArrow(run, schema)
 
 
-def _range_column(base: DataFrame, probes: DataFrame, partition: str, address: str) -> Column | None:
-    """A column of at most ``RANGES`` ordered values that follows the key's order; None to use the partition itself.
-
-    Where all keys are in one partition, ranges are of addresses.
-    """
-    both = base.select(partition, address).unionByName(probes.select(partition, address))
-    kinds = dict(base.dtypes)
-    whole = lambda c: kinds[c] in ("int", "bigint") or kinds[c] == "decimal(20,0)"
-    if not whole(partition):
-        return None
-    narrow = whole(address)
-    row = both.agg(F.min(partition).alias("lo"), F.max(partition).alias("hi"), *([F.min(address).alias("alo"), F.max(address).alias("ahi")] if narrow else [])).first()
-    if row.lo is None:
-        return None
-    name, lo, hi = (address, row.alo, row.ahi) if row.lo == row.hi and narrow else (partition, row.lo, row.hi)
-    if lo is None:
+def _ranged(rows: DataFrame, partition: str, address: str) -> DataFrame:
+    """``rows`` with ``__r``, a range that follows the key's order: ``RANGES`` of them at most, none of them much fuller than the others."""
+    kinds = dict(rows.dtypes)
+    whole = [kinds[c] in ("int", "bigint", "decimal(20,0)") for c in (partition, address)]
+    ends = [f(c).alias(f"{k}_{c}") for c, w in zip((partition, address), whole, strict=True) if w for k, f in (("lo", F.min), ("hi", F.max))]
+    row = rows.agg(F.count("*").alias("n"), *ends).first()
+    place = _equal_widths(row, partition, address, kinds, whole)
+    if place is not None:
+        even = rows.withColumn("__r", F.coalesce(place, F.lit(-1)))
+        if row.n <= FULL_ROWS or even.groupBy("__r").count().agg(F.max("count")).first()[0] <= max(FULL_ROWS, FULL_SHARE * row.n // RANGES):
+            return even
+    parts = min(RANGES, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), row.n // FULL_ROWS))
+    # Written before it is used, so that what a lost executor held isn't cut at other keys.
+    ensure_checkpoints(rows.sparkSession)
+    return rows.repartitionByRange(parts, partition, address).withColumn("__r", F.spark_partition_id().cast("bigint")).checkpoint()
+
+
+def _equal_widths(row, partition: str, address: str, kinds: dict[str, str], whole: list[bool]) -> Column | None:
+    """Ranges of equal width over the partitions, or over the addresses of an only partition; None where keys aren't numbers."""
+    if not whole[0] or row[f"lo_{partition}"] is None:
         return None
-    step = (int(hi) - int(lo)) // RANGES + 1
-    ahead = F.col(name).cast("decimal(20,0)") - F.lit(int(lo)).cast("decimal(20,0)") if kinds[name] == "decimal(20,0)" or int(hi) - int(lo) >= 2**62 else F.col(name) - F.lit(int(lo))
-    return integral_div(ahead, step) if step > 1 or kinds[name] == "decimal(20,0)" else ahead.cast("bigint")
+    one = row[f"lo_{partition}"] == row[f"hi_{partition}"] and whole[1] and row[f"lo_{address}"] is not None
+    name = address if one else partition
+    lo, hi = int(row[f"lo_{name}"]), int(row[f"hi_{name}"])
+    step = (hi - lo) // RANGES + 1
+    big = kinds[name] == "decimal(20,0)"
+    ahead = F.col(name).cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)") if big or hi - lo >= 2**62 else F.col(name) - F.lit(lo)
+    return integral_div(ahead, step) if step > 1 or big else ahead.cast("bigint")
 
 
 def _windowed(probes: DataFrame, base: DataFrame, how: str, payload: list[str], key: list[str], prefix: str) -> DataFrame:
     back, same = WAYS[how]
     partition, address = key
-    place = _range_column(base, probes, partition, address)
-    place = F.col(partition) if place is None else place
     # An equal key comes before its probe if it answers a floor, after it if it answers a ceil, before it (and so is passed over) in an upper bound.
     base_first = back or not same
     record = F.struct(*payload)
-    left = base.select(place.alias("__r"), F.col(partition).alias("__p"), F.col(address).alias("__a"), F.lit(0 if base_first else 1).alias("__o"), record.alias("__rec"), F.lit(None).cast(probes.schema).alias("__row"))
-    right = probes.select(place.alias("__r"), F.col(partition).alias("__p"), F.col(address).alias("__a"), F.lit(1 if base_first else 0).alias("__o"), F.lit(None).cast(base.select(record.alias("x")).schema["x"].dataType).alias("__rec"), F.struct(*(F.col(c) for c in probes.columns)).alias("__row"))
-    order = Window.partitionBy("__r").orderBy("__p", "__a", "__o")
-    inside = F.last("__rec", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first("__rec", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = left.unionByName(right).withColumn("__in", inside).where(F.col("__row").isNotNull())
-    # The ends of ranges, one row for each range that has records.
-    end = F.max(F.struct("__p", "__a", "__rec")) if back else F.min(F.struct("__p", "__a", "__rec"))
-    ends = left.groupBy("__r").agg(end["__rec"].alias("__end"))
-    asked = rows.select("__r").distinct().withColumn("__end", F.lit(None).cast(ends.schema["__end"].dataType)).unionByName(ends)
-    asked = asked.groupBy("__r").agg(F.first("__end", ignorenulls=True).alias("__end"))
-    every = Window.orderBy("__r")
-    near = F.last("__end", ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, -1)) if back else F.first("__end", ignorenulls=True).over(every.rowsBetween(1, Window.unboundedFollowing))
-    near = asked.withColumn("__near", near).select(F.col("__r").alias("__r2"), "__near")
-    joined = rows.join(near, rows["__r"].eqNullSafe(near["__r2"]), "left").withColumn("__got", F.coalesce("__in", "__near"))
+    left = base.select(F.col(partition).alias("__p"), F.col(address).alias("__a"), F.lit(0 if base_first else 1).alias("__o"), record.alias("__rec"), F.lit(None).cast(probes.schema).alias("__row"))
+    right = probes.select(F.col(partition).alias("__p"), F.col(address).alias("__a"), F.lit(1 if base_first else 0).alias("__o"), F.lit(None).cast(base.select(record.alias("x")).schema["x"].dataType).alias("__rec"), F.struct(*(F.col(c) for c in probes.columns)).alias("__row"))
+    ranged = _ranged(left.unionByName(right), "__p", "__a")
+    # Against the direction of the lookup, so that the answer is the last record seen.
+    towards = lambda *names: [F.col(c).asc() if back else F.col(c).desc() for c in names]
+    seen = Window.partitionBy("__r").orderBy(*towards("__p", "__a", "__o")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.withColumn("__in", F.last("__rec", ignorenulls=True).over(seen)).where(F.col("__row").isNotNull())
+    # The ends of ranges, one row for each range; ranges without records have none.
+    record_rows = ranged.where(F.col("__rec").isNotNull()).select("__r", F.struct("__p", "__a", "__rec").alias("held"))
+    ends = record_rows.groupBy("__r").agg((F.max("held") if back else F.min("held"))["__rec"].alias("__end"))
+    asked = ranged.select("__r").distinct()
+    ends = asked.join(ends, "__r", "left")
+    before = Window.orderBy(*towards("__r")).rowsBetween(Window.unboundedPreceding, -1)
+    near = ends.select(F.col("__r").alias("__r2"), F.last("__end", ignorenulls=True).over(before).alias("__near"))
+    # The rows lie by range already, so only the ends move.
+    joined = rows.join(near, rows["__r"] == near["__r2"], "left").withColumn("__got", F.coalesce("__in", "__near"))
     # A probe without a key has no answer.
     asks = F.col("__p").isNotNull() & F.col("__a").isNotNull()
     return joined.select("__row.*", *(F.when(asks, F.col("__got")[c]).alias(f"{prefix}{c}") for c in payload))
 
 
 def neighbours(base: DataFrame, partition: str = "partition", address: str = "address") -> DataFrame:
-    """Each record with the address before and after it in its partition's order, and across partitions at its ends."""
-    order = Window.partitionBy(partition).orderBy(address)
-    inside = base.withColumn("prev_address", F.lag(address).over(order)).withColumn("next_address", F.lead(address).over(order))
-    ends = base.groupBy(partition).agg(F.min(address).alias("__first"), F.max(address).alias("__last"))
-    across = Window.orderBy(partition)  # one row for each partition
-    ends = ends.withColumn("__before", F.lag(F.struct(partition, "__last")).over(across)).withColumn("__after", F.lead(F.struct(partition, "__first")).over(across))
-    rows = inside.join(ends.select(partition, "__before", "__after"), partition)
-    rows = rows.withColumn("prev_partition", F.when(F.col("prev_address").isNotNull(), F.col(partition)).otherwise(F.col("__before")[partition])).withColumn("next_partition", F.when(F.col("next_address").isNotNull(), F.col(partition)).otherwise(F.col("__after")[partition]))
-    return rows.withColumn("prev_address", F.coalesce("prev_address", F.col("__before")["__last"])).withColumn("next_address", F.coalesce("next_address", F.col("__after")["__first"])).drop("__before", "__after")
+    """Each record with the key before and after it."""
+    ranged = _ranged(base, partition, address)
+    key = F.struct(F.col(partition).alias("p"), F.col(address).alias("a"))
+    order = Window.partitionBy("__r").orderBy(partition, address)
+    across = Window.orderBy("__r")  # one row for each range
+    ends = ranged.groupBy("__r").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    ends = ends.select("__r", F.lag("hi").over(across).alias("__before"), F.lead("lo").over(across).alias("__after"))
+    rows = ranged.withColumns({"__prev": F.lag(key).over(order), "__next": F.lead(key).over(order)}).join(F.broadcast(ends), "__r")
+    rows = rows.withColumns({"__prev": F.coalesce("__prev", "__before"), "__next": F.coalesce("__next", "__after")})
+    return rows.select(*base.columns, F.col("__prev.p").alias("prev_partition"), F.col("__prev.a").alias("prev_address"), F.col("__next.p").alias("next_partition"), F.col("__next.a").alias("next_address"))
 
 
 def range_scan(base: DataFrame, low, high, key: str = "key") -> DataFrame:
@@ -188,12 +203,14 @@ def range_scan(base: DataFrame, low, high, key: str = "key") -> DataFrame:
 
 
 def ranked_scan(base: DataFrame, partition: str = "partition", address: str = "address", reverse: bool = False, name: str = "rank") -> DataFrame:
-    """Each record's place in (partition, address) order, from 1: its place in its partition plus the records before that."""
-    order = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    inside = F.row_number().over(Window.partitionBy(partition).orderBy(order(address)))
-    counts = base.groupBy(partition).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(order(partition)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return base.withColumn("__k", inside).join(counts.withColumn("__before", before).drop("__n"), partition).withColumn(name, (F.col("__k") + F.col("__before")).cast("bigint")).drop("__k", "__before")
+    """Each record's place in (partition, address) order, from 1: its place in its range plus the records before that."""
+    ranged = _ranged(base, partition, address)
+    order = lambda *names: [F.col(c).desc() if reverse else F.col(c).asc() for c in names]
+    inside = F.row_number().over(Window.partitionBy("__r").orderBy(*order(partition, address)))
+    before = F.sum("count").over(Window.orderBy(*order("__r")).rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
+    counts = ranged.groupBy("__r").count().select("__r", F.coalesce(before, F.lit(0)).alias("__before"))
+    rows = ranged.withColumn("__k", inside).join(F.broadcast(counts), "__r")
+    return rows.select(*base.columns, (F.col("__k") + F.col("__before")).cast("bigint").alias(name))
 
 
 def bounds(base: DataFrame, partition: str = "partition", address: str = "address") -> DataFrame:

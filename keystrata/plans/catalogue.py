@@ -349,8 +349,8 @@ def remap_resolve(spark: SparkSession, d: str) -> DataFrame:
 @_query("""WITH s AS (SELECT o_orderkey >> 8 AS p, count(*) AS c FROM orders GROUP BY 1), t AS (SELECT p, c, lag(p) OVER (ORDER BY p) AS before FROM s)
 SELECT count(*) AS partitions, sum(c)::BIGINT AS records, coalesce(bool_and(before IS NULL OR before < p), true) AS increasing FROM t""")
 def validate_counts(spark: SparkSession, d: str) -> DataFrame:
-    slots = _orders(spark, d).groupBy("partition").agg(F.count("*").alias("c"))
-    before = F.lag("partition").over(Window.orderBy("partition"))  # one row for each partition
-    rows = slots.withColumn("before", before)
-    return rows.agg(F.count("*").alias("partitions"), F.sum("c").alias("records"), F.coalesce(F.bool_and(F.col("before").isNull() | (F.col("before") < F.col("partition"))), F.lit(True)).alias("increasing"))
+    slots = _orders(spark, d).groupBy("partition").agg(F.count("*").alias("c")).withColumn("address", F.lit(0))
+    rows = lookup.neighbours(slots)
+    before = F.col("prev_partition")
+    return rows.agg(F.count("*").alias("partitions"), F.sum("c").alias("records"), F.coalesce(F.bool_and(before.isNull() | (before < F.col("partition"))), F.lit(True)).alias("increasing"))
 

@@ -86,6 +86,23 @@ def test_ranges_stay_few_and_split_one_partition(spark, monkeypatch):
     assert all(r.got_k == answer(keys, r.q, "ceil") for r in got)
 
 
+def test_bunched_keys_are_cut_at_quantiles(spark, monkeypatch):
+    """A partition that holds nearly all keys is spread over many ranges, and answers stay the same."""
+    monkeypatch.setattr(lookup, "FULL_ROWS", 50)
+    monkeypatch.setattr(lookup, "RANGES", 16)
+    keys = gaps(600, 5, 4) + [1 << 50]
+    base, asked = frame(spark, keys, 20), frame(spark, [*range(0, 3000, 7), 1 << 49, 1 << 51], 20).withColumnRenamed("k", "q")
+    ranged = lookup._ranged(base, "partition", "address")
+    assert max(r["count"] for r in ranged.groupBy("__r").count().collect()) < 200
+    for how in HOWS:
+        got = lookup.as_of(asked, base, how, ["k"], prefix="got_", strategy="window", repeats=False).collect()
+        assert all(r.got_k == answer(keys, r.q, how) for r in got) and len(got) == asked.count(), how
+    assert [r.k for r in lookup.ranked_scan(base, reverse=True).orderBy("rank").collect()] == keys[::-1]
+    rows = lookup.neighbours(base).orderBy("k").collect()
+    assert [r.prev_address for r in rows] == [None, *(r.address for r in rows[:-1])]
+    assert [r.next_partition for r in rows] == [*(r.partition for r in rows[1:]), None]
+
+
 def test_find_does_not_fall_through(spark):
     base, asked = frame(spark, [3, 9], 2), frame(spark, [3, 4, 9, 10], 2).withColumnRenamed("k", "q")
     on = ["partition", "address"]
