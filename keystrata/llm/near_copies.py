@@ -1,0 +1,135 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  Exact.
+
+Two sets that similar share one of their first ``n - ceil(0.8 n) + 1`` members
+in any order that all sets keep to.  Each text gives those as keys; the order
+puts shingles that a sample repeats last, so that stock phrases are keys of
+texts that hold little else.  Pairs that share a key and could be similar by
+size and by the number of shared keys are compared by their whole sets.  Keys with many members first link all
+to their least one; then only pairs that are not joined yet are compared.
+
+Defined results: shingles are told apart by 64-bit hashes and lower-cased
+(A-Z); texts with equal words are one node; a text shorter than a shingle has
+one shingle; null and blank texts have equal words, none, and are one node.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .base import map_texts, materialize, words_of
+from .components import components
+
+SHINGLE = 5
+#: Texts in the sample that finds common shingles, about, and the most shingles that it names.
+SAMPLE, COMMON = 1 << 13, 200_000
+#: A key with more members is linked to its least member first.
+CROWD = 64
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.int64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    ends = ends[SHINGLE - 1 :].tolist() or [len(line)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[s:e]) for s, e in zip(starts, ends, strict=False)), np.uint64, len(ends)).view(np.int64))
+
+
+def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The members of which similar sets share one; ``common`` (sorted) come last, by ``rank``."""
+    n = len(found)
+    if not n:
+        return found
+    place = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        place = np.where(common[at] == found, rank[at], 0)
+    return found[np.lexsort((found, place))[: n - (4 * n + 4) // 5 + 1]]
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, sorted, and how many do."""
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    part = docs.where(F.pmod(F.xxhash64(F.lit(1), "digest"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["digest"])
+    each = map_texts(part, "digest bigint, found array<bigint>", lambda text: (shingles(text),), ("digest",))
+    top = each.select(F.explode("found").alias("x")).groupBy("x").count().where("count > 1").orderBy(F.desc("count"), "x").limit(COMMON).collect()
+    names, rank = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.int64)
+    order = np.argsort(names)
+    return names[order], rank[order]
+
+
+def _could(x: str, y: str) -> Column:
+    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+
+
+def _enough() -> Column:
+    """If ``same`` shared keys leave a pair the chance to be similar: beyond its keys a set has ``rest`` members at most.
+
+    Of two lists of keys, one ends first in the common order; what the sets share up to there are shared keys.
+    """
+    rest = F.floor((4 * F.greatest("na", "nb") + 4) / 5) - 1
+    return 9 * (F.col("same") + rest) >= 4 * (F.col("na") + F.col("nb"))
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets are similar; only texts of pairs are read."""
+    pairs = materialize(pairs, "pairs")
+    each = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(nodes.select("node", "digest").join(each, "node", "left_semi"), "wanted")
+    texts = docs.select("digest", "text").join(wanted, "digest").groupBy("node").agg(F.first("text").alias("text"))
+    sets = materialize(map_texts(texts, "node bigint, found array<bigint>", lambda text: (shingles(text),), ("node",)), "sets")
+    left = sets.select(F.col("node").alias("a"), F.col("found").alias("fa"))
+    right = sets.select(F.col("node").alias("b"), F.col("found").alias("fb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("fa") + F.size("fb")).alias("n"), F.size(F.array_intersect("fa", "fb")).alias("same"))
+    return materialize(both.where(5 * F.col("same") >= 4 * (F.col("n") - F.col("same"))).select("a", "b"), "similar")
+
+
+def _links(shared: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b``: links that join what similar pairs join."""
+    x = shared.select("key", F.col("node").alias("a"), F.col("n").alias("na"))
+    y = shared.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
+    links = None
+    crowded = shared.where(F.col("count") > CROWD)
+    if not crowded.isEmpty():
+        low = crowded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("m"))
+        stars = crowded.join(low, "key").where((F.col("node") != F.col("m.node")) & _could("n", "m.n"))
+        stars = stars.select(F.col("m.node").alias("a"), F.col("node").alias("b")).distinct()
+        counted = stars.join(x, "a").join(y, ["b", "key"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("same"))
+        links = _similar(counted.where(_enough()).select("a", "b"), docs, nodes)
+        roots = materialize(components(links), "roots")
+        rows = materialize(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        x = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        y = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    met = x.join(y, "key").where((F.col("a") < F.col("b")) & _could("na", "nb"))
+    if links is not None:
+        met = met.where(F.col("ra") != F.col("rb"))
+    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("same")).where(_enough()).select("a", "b")
+    rest = _similar(pairs, docs, nodes)
+    return rest if links is None else links.unionByName(rest)
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest, root`` for every row of ``docs``; ``digest`` tells texts apart, ``root`` components."""
+    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    kind = dict(docs.dtypes)["doc_id"]
+    common, rank = _common(slim)
+
+    def one(text: str | None) -> tuple:
+        found = shingles(text)
+        node = xxhash.xxh3_64_intdigest(b" ".join(words_of(text)))
+        return node - (1 << 64) if node >> 63 else node, len(found), prefix(found, common, rank)
+
+    marked = materialize(map_texts(slim, f"doc_id {kind}, digest bigint, node bigint, n bigint, keys array<bigint>", one, ("doc_id", "digest")), "shingles")
+    # Copies count once: the text of the least digest stands for its node.
+    nodes = materialize(marked.groupBy("node").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = materialize(keys.join(keys.groupBy("key").count().where("count > 1"), "key"), "keys")
+    roots = components(_links(shared, slim, nodes))
+    return marked.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))

@@ -157,8 +157,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows of different components all stay, also those that share an id or have none.
     """
     slim = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    return first_of_each(docs, groups(slim, keep=("doc_id", "digest")))
+
+
+def first_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """As ``deduplicate``, by the components of ``marked``: ``doc_id``, ``digest`` of the text, ``root``."""
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("digest").alias("__d"))
-    rows = groups(slim, keep=("doc_id", "digest")).groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    rows = marked.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
     kept = rows.groupBy("root").agg(F.min(F.struct(first.alias("first"), "n")).alias("x")).select("x.first.__id", "x.first.__d", "x.n")
     kept = materialize(kept, "kept")
     left = docs.withColumn("__digest", F.xxhash64("text"))

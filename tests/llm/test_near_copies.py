@@ -1,0 +1,61 @@
+"""Near copies against brute force over all pairs, and the pipeline's stage."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from keystrata.llm import near_copies, simhash
+
+
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {None}
+
+
+def edited(rng, ws, n):
+    ws = list(ws)
+    for _ in range(n):
+        ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+    return ws
+
+
+@pytest.mark.parametrize("crowd", [near_copies.CROWD, 2])
+def test_all_similar_pairs_are_linked(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    rng = random.Random(3)
+    stock = [f"stock{i}" for i in range(40)]
+    texts = [None, "", " \n", "one two", "One  two", "one two three"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([8, 60, 300]))]
+        texts += [" ".join(edited(rng, base + stock * rng.randrange(2), n)) for n in (0, 0, 1, 2, 3, 6, 9)]
+    texts += [" ".join(edited(rng, stock, n)) for n in (0, 1, 1, 2)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets, close = [shingles(t) for t in texts], 0
+    for a in range(len(texts)):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if 5 * same >= 4 * (len(sets[a]) + len(sets[b]) - same):
+                close += same < max(len(sets[a]), len(sets[b]))
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert close > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = simhash.first_of_each(docs, near_copies.groups(docs))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
+    assert near_copies.groups(docs.limit(0)).count() == 0
+
+
+def test_stage_drops_copies_with_a_few_edits(spark):
+    """Ten edits in a thousand words: similar by shingles, more than three bits apart."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(1000)]
+    texts = [" ".join(base), " ".join(edited(rng, base, 10)), " ".join(edited(rng, base, 60))]
+    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() > 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
