@@ -46,6 +46,17 @@ EXTRA_RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE_RULES + EXTRA_RULES
+_GAP = r"(?:\s|\\[nr])"
+#: A key's block: up to its END line if no other dashed line comes first, else the header lines and base64 lines that
+#: follow.  Blanks and written-out line ends part lines too; a short last line fills its line or ends in padding.
+#: Repeats of groups are possessive, so long texts take no stack.
+PEM_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_GAP}++[A-Z][A-Za-z-]{{2,20}}:[^\r\n\\]*+)*+(?:{_GAP}++[A-Za-z0-9+/]{{16,}}+={{0,2}})*+"
+    rf"(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|(?=[ \t]*(?:[\r\n]|\\[nr]|\z))))?)"
+)
+#: What is masked: as ``RULES``, but a private key goes with its body.
+MASK_RULES = tuple(Rule("pem", PEM_BLOCK, version=2) if r.name == "pem" else r for r in RULES)
 
 _PAIRS = "blob string, rule string, version int, run string"
 _FOUND = "blob string, rule string, version int, start long, end long, run string"
@@ -150,7 +161,7 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str |
     return rows.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("findings")).alias("spans"))
 
 
-def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]", path: str | None = None) -> DataFrame:
+def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = MASK_RULES, mark: str = "[secret]", path: str | None = None) -> DataFrame:
     """``docs`` with every span found replaced by ``mark`` (overlapping spans by one); all rows and columns stay."""
     ledger = Ledger(docs.sparkSession, path)
     keyed = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), F.col("text"))
