@@ -22,13 +22,14 @@ MOST_REPEATED = 20
 #: Fixed limits: sizes in bytes up to which a band holds, then the least and the most ratio.
 BANDS = (
     (256, 0.0, 2.5),
-    (1024, 1.05, 3.0),
-    (4096, 1.2, 4.0),
-    (16384, 1.4, 5.0),
-    (None, 1.5, 6.0),
+    (512, 1.05, 3.0),
+    (1024, 1.28, 3.0),
+    (4096, 1.5, 4.0),
+    (16384, 1.8, 5.0),
+    (None, 1.9, 6.0),
 )
 #: Share of a text's bytes, in percent, in chunks outside their band that rejects it.
-MOST_OUTSIDE = 50
+MOST_OUTSIDE = 20
 
 
 def inside(size: int, ratio: float) -> bool:
