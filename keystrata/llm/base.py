@@ -1,9 +1,7 @@
-"""Shared helpers: durable intermediate tables, ASCII folding, document splits."""
+"""Shared helpers: durable intermediate tables, joins that split hot keys, ASCII folding, document splits."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,53 +9,59 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import fresh_path, materialize, shared_dir  # noqa: F401
+
 #: Lower-cases A-Z in UTF-8 bytes and touches nothing else.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_tables: dict[str, list[str]] = {}
+#: A key of more rows than this, and of more than one in ``HOT_KEYS`` of all rows, is split.
+HOT_ROWS, HOT_KEYS = 4096, 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one for tests where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "/tmp/checkpoints").rstrip("/")
+def bounded(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df`` in a copy of its session that hands Python workers ``rows`` texts at once at most.
 
+    The caller's session keeps its own setting.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if 0 < int(spark.conf.get(key, "10000")) <= rows:
+        return df
+    own = spark._jsparkSession.cloneSession()
+    copy = SparkSession(spark.sparkContext, own)
+    copy.conf.set(key, str(rows))
+    made = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, df._jdf.queryExecution().analyzed())
+    return DataFrame(made, copy)
 
-def _forget(spark: SparkSession, paths: list[str]) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in paths:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-    except Exception:  # the JVM may be gone already
-        pass
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that ``columns`` lack."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Holds what Python workers take at once to ``rows`` texts, unless the session has a smaller bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
 
+def deal_of(df: DataFrame, skip: tuple[str, ...] = ("text",)) -> Column:
+    """A hash of a row's columns, those left out that are long or have no hash."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if c not in skip and "map<" not in kind and kind != "variant"), F.lit(1))
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver's interpreter ends."""
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/keystrata/{app}/{label}-{uuid.uuid4().hex}"
-    if app not in _tables:
-        _tables[app] = []
-        atexit.register(_forget, spark, _tables[app])
-    _tables[app].append(path)
-    return path
 
+def split_join(rows: DataFrame, few: DataFrame, on: list[str], count: str, deal: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, a written table of one row for each key with the number of ``rows`` that have it.
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Hot keys, ``HOT_KEYS`` of them at most as each has more than that share of all rows, go to every task; their rows
+    are dealt by the hash ``deal`` over parts of ``HOT_ROWS`` or so, and their row of ``few`` is repeated for each part.
+    """
+    total = few.agg(F.sum(count)).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    parts, part = unused([*rows.columns, *few.columns], "parts"), unused([*rows.columns, *few.columns], "part")
+    heavy = few.where(F.col(count) > limit).select(*on, F.ceil(F.col(count) / limit).cast("int").alias(parts))
+    if heavy.isEmpty():
+        return rows.join(few, on, how)
+    left = rows.join(F.broadcast(heavy), on, "left").withColumn(part, F.coalesce(F.pmod(deal, F.col(parts)), F.lit(0)).cast("int")).drop(parts)
+    last = F.greatest(F.ceil(F.col(count) / limit).cast("int"), F.lit(1)) - 1
+    right = few.withColumn(part, F.explode(F.sequence(F.lit(0), last)))
+    return left.join(right, [*on, part], how).drop(part)
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:

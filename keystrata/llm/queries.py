@@ -7,52 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunking, decontaminate, language, language_model, mixing, quality_classifier, quality_rules, secrets, simhash, toxicity
-from .base import bound_batches
+from .base import bounded
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _beside(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(_table(spark, sf_dir, "documents"))
+    return secrets.scan_documents(_docs(spark, sf_dir))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(_table(spark, sf_dir, "documents"))
+    return language.identify(_docs(spark, sf_dir))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(_table(spark, sf_dir, "documents"))
+    return language_model.score(_docs(spark, sf_dir))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_docs(spark, sf_dir), _beside(spark, sf_dir, "benchmark"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(_docs(spark, sf_dir), _beside(spark, sf_dir, "labels"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return quality_rules.judge(_docs(spark, sf_dir))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality_classifier.score_quality(_docs(spark, sf_dir), _beside(spark, sf_dir, "labels"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.repeated_documents(_table(spark, sf_dir, "documents"))
+    return chunking.repeated_documents(_docs(spark, sf_dir))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(_table(spark, sf_dir, "documents"))
+    return mixing.mix_documents(_docs(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
