@@ -16,8 +16,11 @@ The model is fitted on at most ``SAMPLE`` labelled rows of each label (a hash of
 the id chooses, evenly over all labelled rows); scoring reads whole texts.
 
 Defined results: null, blank and unknown texts get the score of a text without
-a segment; a document with two labels is toxic if one says so; null labels are
-left out; without training rows of both labels every score is 0.
+a segment; a document with two labels is toxic if one says so; null labels and
+labels without an id are left out; rows that repeat are each scored; without
+training rows of both labels every score is 0; an empty table gives an empty
+result; very long texts take time and memory in proportion; of the documents
+only ``doc_id`` and ``text`` are read, and a filter keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -164,26 +167,25 @@ class Model:
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments as score, begin, end, in one pass that looks at tokens of positive score only.
+    """All maximal scoring segments as score, begin, end, in time linear in the tokens.
 
-    Each candidate keeps the running sum before and after it; a new one joins back to the nearest earlier candidate
-    that began lower, if that one ended lower too.
+    One pass looks at tokens of positive score only.  Each candidate keeps the running sum before and after it and the
+    place of the nearest earlier candidate that began lower; a new one follows these places back to its own, which skips
+    each candidate once at most, and joins it if that one ended lower too.
     """
     where = np.flatnonzero(scores > 0)
     after = np.cumsum(scores)[where]
-    held: list[list[float]] = []  # sum before, sum after, begin, end
+    held: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, begin, end, place of the nearest that began lower
     for at, low, high in zip(where.tolist(), (after - scores[where]).tolist(), after.tolist(), strict=True):
-        new = [low, high, at, at + 1]
-        while True:
-            back = len(held) - 1
-            while back >= 0 and held[back][0] >= new[0]:
-                back -= 1
-            if back < 0 or held[back][1] >= new[1]:
-                held.append(new)
-                break
-            new = [held[back][0], new[1], held[back][2], new[3]]
+        begin, back = at, len(held) - 1
+        while back >= 0 and held[back][0] >= low:
+            back = held[back][4]
+        while back >= 0 and held[back][1] < high:
+            low, _, begin, _, lower = held[back]
             del held[back:]
-    return [(b - a, int(i), int(j)) for a, b, i, j in held]
+            back = lower
+        held.append((low, high, begin, at + 1, back))
+    return [(b - a, i, j) for a, b, i, j, _ in held]
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, out: int = 2) -> Model:
