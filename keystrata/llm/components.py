@@ -24,19 +24,18 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``links``: two columns of comparable ids.  Gives ``node, root``, root being the least id reachable, for linked nodes.
 
-    Rounds end when a round changes nothing: then every link leads from a node to its root.  Each round is written
+    Rounds, a logarithmic number of them, end when one changes nothing: then every link leads from a node to its root.  Each round is written
     to the shared folder, so lineage stays short and a lost executor costs one round at most.
     """
     a, b = links.columns
     now = materialize(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "links")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         now = materialize(_star(_star(now, large=True), large=False), "stars")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = seen
-    raise RuntimeError(f"components did not settle within {most_rounds} rounds")

@@ -13,7 +13,10 @@ pairs.  All of this is exact.
 Defined results: null and blank texts have fingerprint zero and are linked like
 any other; texts shorter than a shingle have one shingle; equal fingerprints
 are one node; a repeated row is repeated in the result; a null doc_id has a
-fingerprint and takes part, but is never the least id of a group that has one.
+fingerprint and takes part, but is never the least id of a group that has one;
+very long texts are hashed in pieces; an empty table gives an empty result; only
+``doc_id`` and ``text`` decide, and other columns may have any name.  Distances
+over three bits are refused.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_texts, materialize, popcount, words_of
+from .base import deal_of, map_texts, materialize, popcount, split_join, unused, words_of
 from .components import components
 
 #: A key with more members is cut finer.
@@ -124,10 +127,12 @@ def _links(keys: DataFrame, distance: int) -> DataFrame:
 
 def link(fps: DataFrame, distance: int = 3) -> DataFrame:
     """``a, b``: spanning links of distinct fingerprints ``fp`` within ``distance`` bits."""
+    if not 0 <= distance <= 3:
+        raise ValueError("fingerprints are linked within 0 to 3 bits: beyond that the finest keys have too many members")
     m = plan(fps.count(), distance)
     keys = _keys(fps, m, distance)
-    counts = keys.groupBy("t", "bits").count().where("count > 1")
-    shared = materialize(keys.join(counts, ["t", "bits"]), "keys")
+    counts = materialize(keys.groupBy("t", "bits").count().where("count > 1"), "key-counts")
+    shared = materialize(split_join(keys, counts, ["t", "bits"], "count", F.xxhash64("fp")), "keys")
     links = _links(shared.where(F.col("count") <= HOT), distance)
     hot = shared.where(F.col("count") > HOT).select("fp").distinct()
     if m < FINE and not hot.isEmpty():
@@ -138,12 +143,13 @@ def link(fps: DataFrame, distance: int = 3) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = 3, distance: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with ``fp, root, component_id`` for every row of ``docs``; ``root`` tells components apart."""
     marked = materialize(fingerprints(docs, shingle, keep), "fingerprints")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
     roots = components(link(nodes.select("fp"), distance))
-    of = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(named, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select(*keep, "fp", "root", "component_id")
+    of = materialize(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "roots")
+    least = materialize(of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "least")
+    named = materialize(split_join(of, least, ["root"], "members", F.xxhash64("fp")).drop("members"), "named")
+    # A written table's rows keep their numbers, so a row that is read again is dealt to the same part.
+    return split_join(marked, named, ["fp"], "rows", F.xxhash64(F.monotonically_increasing_id())).select(*keep, "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -161,14 +167,22 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """As ``deduplicate``, by the components of ``marked``: ``doc_id``, ``digest`` of the text, ``root``."""
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("digest").alias("__d"))
+    """As ``deduplicate``, by the components of ``marked``: ``doc_id``, ``digest`` of the text, ``root``.
+
+    Of rows alike in id and text the first in the order of their columns written as JSON stays.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("digest").alias("d"))
     rows = marked.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
-    kept = rows.groupBy("root").agg(F.min(F.struct(first.alias("first"), "n")).alias("x")).select("x.first.__id", "x.first.__d", "x.n")
-    kept = materialize(kept, "kept")
-    left = docs.withColumn("__digest", F.xxhash64("text"))
-    left = left.join(kept, left.doc_id.eqNullSafe(kept["__id"]) & (left["__digest"] == kept["__d"]), "left_semi")
+    kept = rows.groupBy("root").agg(F.min(F.struct(first.alias("first"), "n")).alias("x"))
+    # Ids that are null count as a value of their own.
+    digest, no_id, some = (unused(docs.columns, c) for c in ("digest", "no_id", "id_or_not"))
+    written = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    kept = materialize(kept.select(F.col("x.first.no_id").alias(no_id), written("x.first.id").alias(some), F.col("x.first.d").alias(digest), F.col("x.n").alias(unused(docs.columns, "alike"))), "kept")
+    alike = kept.columns[-1]
+    left = docs.withColumns({no_id: F.col("doc_id").isNull(), some: written("doc_id"), digest: F.xxhash64("text")})
+    left = split_join(left, kept, [no_id, some, digest], alike, deal_of(docs))
     # Rows that are alike in id and text meet in another shuffle, which is left out where there are none.
-    if not kept.where("n > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "__digest"])
-    return left.drop("__digest")
+    if not kept.where(F.col(alike) > 1).isEmpty():
+        whole = F.struct(*docs.columns)
+        left = left.groupBy(no_id, some, digest).agg(F.min_by(whole, F.to_json(whole)).alias(digest + "_row")).select(f"{digest}_row.*")
+    return left.select(*docs.columns)
