@@ -6,8 +6,11 @@ scans only pairs that it has not seen, once per blob however many paths carry
 it, and joins the findings back to all paths.  DataFrame operations only.
 
 Defined results: a null text counts as empty; equal texts share one blob; a row
-that repeats is reported as often as it occurs; an empty table gives an empty
-result.  Spans are code points, end exclusive.
+that repeats, shares an id or has none is reported as often as it occurs; an
+empty table gives an empty result; very long texts are scanned whole.  Spans are
+code points, end exclusive; spans that start together go by their kind, then
+their end.  Only ``doc_id`` and ``text`` are read, other columns go through
+under any name.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import fresh_path
+from .base import HOT_ROWS, deal_of, fresh_path, materialize, split_join
 
 
 @dataclass(frozen=True)
@@ -58,7 +61,7 @@ PEM_BLOCK = (
 #: What is masked: as ``RULES``, but a private key goes with its body.
 MASK_RULES = tuple(Rule("pem", PEM_BLOCK, version=2) if r.name == "pem" else r for r in RULES)
 
-_PAIRS = "blob string, rule string, version int, run string"
+_SCANNED = "blob string, pairs array<string>, run string"
 _FOUND = "blob string, rule string, version int, start long, end long, run string"
 
 
@@ -67,57 +70,55 @@ def blob_of(text: Column) -> Column:
 
 
 class Ledger:
-    """Two tables under ``path``: ``scanned`` pairs and ``found`` spans.
+    """Three tables under ``path``: ``scanned``, a row for each blob and run with its pairs, ``found`` spans, and ``runs``.
 
-    A run writes its findings first and its pairs last; findings count only if
-    the same run's pair exists, so a run that dies leaves nothing behind that is
-    believed, and its pairs are scanned again.
+    A run writes its findings, then its pairs, then its name.  What a run without a name has written, because it died,
+    is not believed, and its pairs are scanned again.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or fresh_path(spark, "ledger")
-        for name, schema in (("scanned", _PAIRS), ("found", _FOUND)):
+        for name, schema in (("scanned", _SCANNED), ("found", _FOUND), ("runs", "run string")):
             spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
 
+    def _believed(self, name: str, schema: str) -> DataFrame:
+        runs = self.spark.read.schema("run string").parquet(f"{self.path}/runs")  # a name for each call of scan()
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").join(F.broadcast(runs), "run", "left_semi")
+
     def scanned(self) -> DataFrame:
-        return self.spark.read.schema(_PAIRS).parquet(f"{self.path}/scanned").distinct()
+        """``blob, pairs``: pairs are written as rule@version."""
+        return self._believed("scanned", _SCANNED).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
 
     def found(self) -> DataFrame:
-        raw = self.spark.read.schema(_FOUND).parquet(f"{self.path}/found")
-        pairs = self.spark.read.schema(_PAIRS).parquet(f"{self.path}/scanned")
-        return raw.join(pairs, ["blob", "rule", "version", "run"], "left_semi").drop("run").distinct()
+        return self._believed("found", _FOUND).drop("run").distinct()
 
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> int:
         """Scans the blobs of ``versions`` for the pairs the ledger lacks; gives the number of pairs scanned."""
         run = uuid.uuid4().hex
         todo = F.array(*(F.lit(f"{r.name}@{r.version}") for r in rules))
         bodies = versions.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-        if self._empty():
+        if self.spark.read.schema("run string").parquet(f"{self.path}/runs").isEmpty():
             blobs = bodies.groupBy("blob").agg(F.first("body").alias("body")).withColumn("due", todo)
         else:
-            # Addresses meet the ledger first; only texts of blobs with a pair due go on.
-            known = self.scanned().groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("known"))
-            due = F.array_except(todo, F.coalesce(F.col("known"), F.array().cast("array<string>")))
-            pending = bodies.select("blob").distinct().join(known, "blob", "left").select("blob", due.alias("due")).where(F.size("due") > 0)
-            blobs = bodies.join(pending, "blob").groupBy("blob").agg(F.first("body").alias("body"), F.first("due").alias("due"))
+            # Addresses meet the ledger first; only texts of blobs with a pair due go on, one of each.
+            due = F.array_except(todo, F.coalesce(F.col("pairs"), F.array().cast("array<string>")))
+            counted = bodies.groupBy("blob").agg(F.count("*").alias("rows"))
+            pending = materialize(counted.join(self.scanned(), "blob", "left").select("blob", "rows", due.alias("due")).where(F.size("due") > 0), "pending")
+            first = split_join(bodies, pending, ["blob"], "rows", F.xxhash64(F.monotonically_increasing_id()))
+            blobs = first.groupBy("blob").agg(F.first("body").alias("body"), F.first("due").alias("due"))
         hits = F.filter(F.array(*(self._hits(r) for r in rules)), lambda x: F.size(x["hit"]) > 0)
-        # One pass over each text: its pairs become rows with no match, its matches rows of lengths; the text stays behind.
+        # One pass over each text: its matches become rows of lengths; the text stays behind.
         none = F.array().cast("array<struct<rule:string,version:int,hit:array<struct<gap:int,len:int,ok:boolean>>>>")
-        lengths = fresh_path(self.spark, "scan")
-        blobs.select("blob", "due", F.coalesce(hits, none).alias("hits")).write.parquet(lengths)
-        done = self.spark.read.parquet(lengths)
+        done = materialize(blobs.select("blob", "due", F.coalesce(hits, none).alias("hits")), "scan")
         each = done.select("blob", F.explode("hits").alias("h")).select("blob", F.col("h.rule"), F.col("h.version"), F.posexplode("h.hit").alias("at", "m"))
         order = Window.partitionBy("blob", "rule", "version").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
         end = F.sum((F.col("m.gap") + F.col("m.len")).cast("long")).over(order)
         spans = each.withColumn("end", end).where("m.ok").select("blob", "rule", "version", (F.col("end") - F.col("m.len")).alias("start"), "end", F.lit(run).alias("run"))
         spans.write.mode("append").parquet(f"{self.path}/found")
-        pairs = done.select("blob", F.explode("due").alias("p")).select("blob", F.substring_index("p", "@", 1).alias("rule"), F.substring_index("p", "@", -1).cast("int").alias("version"), F.lit(run).alias("run"))
-        pairs.write.mode("append").parquet(f"{self.path}/scanned")
-        return self.spark.read.schema(_PAIRS).parquet(f"{self.path}/scanned").where(F.col("run") == run).count()
-
-    def _empty(self) -> bool:
-        return self.spark.read.schema(_PAIRS).parquet(f"{self.path}/scanned").isEmpty()
+        done.select("blob", F.col("due").alias("pairs"), F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/scanned")
+        self.spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
+        return done.agg(F.coalesce(F.sum(F.size("due")), F.lit(0))).first()[0]
 
     @staticmethod
     def _hits(rule: Rule) -> Column:
@@ -134,13 +135,15 @@ class Ledger:
     def paths(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
         """The rows of ``versions`` with ``blob`` and ``findings``, an array of (start, kind, rule, end) in span order.
 
-        ``kind`` is the rule's place in ``rules``.  The join is on blobs that have findings; one that many paths
-        carry is split by the adaptive skew join.
+        ``kind`` is the rule's place in ``rules``.  The paths of a blob that very many carry are dealt over several tasks.
         """
         current = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.lit(i).alias("kind")) for i, r in enumerate(rules)))
         kinds = self.spark.range(1).select(F.explode(current).alias("r")).select("r.*")
         digest = self.found().join(F.broadcast(kinds), ["rule", "version"]).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "rule", "end"))).alias("findings"))
-        return versions.withColumn("blob", blob_of(F.col(text))).join(digest, "blob", "left")
+        marked = versions.withColumn("blob", blob_of(F.col(text)))
+        many = marked.groupBy("blob").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS)
+        digest = materialize(digest.join(many, "blob", "left").withColumn("rows", F.coalesce("rows", F.lit(1))), "findings")
+        return split_join(marked, digest, ["blob"], "rows", deal_of(versions, (text,)), "left").select(*versions.columns, "blob", "findings")
 
 
 def _joined(findings: Column) -> Column:
