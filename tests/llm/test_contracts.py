@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from keystrata.llm import base, chunking, decontaminate, language, language_model, mixing, quality_classifier, quality_rules, secrets, simhash, statistics, toxicity
 
@@ -374,7 +375,7 @@ def test_repeated_words_of_many_kinds():
 def test_bands_reject_repetition_and_noise():
     meter, rng = statistics.Meter(), random.Random(1)
     judge = lambda t: quality_rules.verdict(len(t.encode()), *meter.bands(t))
-    assert judge(" ".join(rng.choices([f"word{i}" for i in range(300)], k=900)))
+    assert not judge(" ".join(rng.choices([f"word{i}" for i in range(300)], k=900)))  # few words, all alike
     assert not judge("buy now cheap deals " * 400)
     assert not judge("".join(chr(rng.randrange(33, 126)) for _ in range(6000)))
 
@@ -458,19 +459,83 @@ def plain_targets(sizes):
         fixed |= {s: 3 * sizes[s] for s in over}
 
 
-def test_mixing(docs, rows, none):
+def plain_mix(spark, rows, seed=0):
+    """A fair queue, piece by piece: words taken of each row (id, text, source)."""
+    seen, marked = Counter(), []
+    for i, t, s in rows:
+        marked.append((i, t, s, seen[i, t, s]))
+        seen[i, t, s] += 1
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(marked)], "n bigint, doc_id bigint, text string, source string, k bigint")
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    order = {r.n: (r.spread, r.doc_id is not None, r.doc_id or 0, r.mark) for r in df.select("n", "doc_id", mark.alias("mark"), F.xxhash64(F.lit(seed), "doc_id", mark, "k").alias("spread")).collect()}
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    want, pieces = plain_targets(sizes), []
+    for nr, s in enumerate(sorted((x for x in sizes if x is not None)) + [None] * (None in sizes)):
+        start = 0
+        for _ in range(3):
+            for n in sorted((n for n, r in enumerate(rows) if r[2] == s), key=order.get):
+                size = len(words(rows[n][1]))
+                for at in range(0, size, mixing.PIECE):
+                    piece = min(mixing.PIECE, size - at)
+                    pieces.append(((start + piece) / want[s], nr, start, n, piece))
+                    start += piece
+    left, taken = sum(sizes.values()), Counter()
+    for *_, n, piece in sorted(pieces):
+        taken[n] += min(piece, left)
+        left -= min(piece, left)
+    groups = defaultdict(list)
+    for n, r in enumerate(rows):
+        groups[r].append(taken[n])
+    return want, Counter((r[0], len(words(r[1])), sum(x)) for r, x in groups.items())
+
+
+def test_mixing(spark, docs, rows, none):
+    plain = [(i, t, s) for i, t, _, s, *_ in rows]
+    want, taken = plain_mix(spark, plain)
     got = by_id(mixing.mix_documents(docs))
-    sizes, taken = Counter(), Counter()
-    for i, t, _, s, *_ in rows:
+    sizes, by_source = Counter(), Counter()
+    for i, t, s in plain:
         sizes[s] += len(words(t))
-        taken[s] += got[i].taken
+        by_source[s] += got[i].taken
         assert got[i]["size"] == len(words(t)) and 0 <= got[i].taken <= 3 * got[i]["size"]
-    want = plain_targets(sizes)
-    for i, _, _, s, *_ in rows:
+    assert Counter((i, r["size"], r.taken) for i, r in got.items()) == taken
+    for i, _, s in plain:
         assert got[i].source_size == sizes[s] and got[i].target == pytest.approx(want[s])
-    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    assert all(abs(by_source[s] - want[s]) <= mixing.PIECE * len(sizes) for s in sizes) and sum(by_source.values()) == sum(sizes.values())
     assert {i: r.taken for i, r in by_id(mixing.mix_documents(docs.repartition(2))).items()} == {i: r.taken for i, r in got.items()}
     assert mixing.mix_documents(none).count() == 0
+    texts = mixing.mix_texts(docs.withColumn("taken", F.lit(7)))
+    assert {r.doc_id: (r.text, r.taken, r.taken_) for r in texts.collect()} == {i: (t, 7, got[i].taken) for i, t, _ in plain if got[i].taken}
+
+
+@pytest.mark.parametrize("stretch", [mixing.STRETCH, 7])
+def test_mixing_of_rows_without_ids_and_alike(spark, monkeypatch, stretch):
+    """A third of the rows without an id, a third alike in all columns, and a source of one long text."""
+    monkeypatch.setattr(mixing, "STRETCH", stretch)
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"w{rng.randrange(99)}" for _ in range(n))
+    same = some(9)
+    plain = [(None, some(rng.randrange(30)), "a") for _ in range(60)] + [(5, same, "b")] * 60 + [(i, some(40), rng.choice("ab")) for i in range(100, 158)] + [(9, None, None), (9, some(5000), "c")]
+    want, taken = plain_mix(spark, plain)
+    got = mixing.mix_documents(spark.createDataFrame(plain, "doc_id bigint, text string, source string").repartition(5))
+    rows = got.collect()
+    assert len(rows) == len(plain) and sum(r.taken for r in rows) == sum(len(words(t)) for _, t, _ in plain)
+    assert Counter(r.taken for r in rows if r.doc_id is None) == Counter(n for (i, _, n), k in taken.items() for _ in range(k) if i is None)
+    alike = sorted(r.taken for r in rows if r.doc_id == 5)
+    assert sum(n for (i, _, n) in taken if i == 5) == sum(alike) and alike[-1] - alike[0] <= 1
+
+
+def test_range_sort_decides_the_mix(spark, docs):
+    """The ranges' order is read: nothing above the sort of finish times puts rows elsewhere before they are added up."""
+    made = mixing._summed(spark.range(1000).selectExpr("id % 3 as nr", "id as size"), ["nr", "size"], "size", "nr", "test")
+    rows = sorted(made.collect(), key=lambda r: (r.part, r.nr, r["size"]))
+    held = Counter()
+    for r in rows:
+        assert r.ahead == held[r.part, r.nr]
+        held[r.part, r.nr] += r["size"]
+    assert [(r.nr, r["size"]) for r in rows] == sorted((i % 3, i) for i in range(1000))
 
 
 def test_targets_reshare_until_none_is_above(spark):
@@ -481,12 +546,6 @@ def test_targets_reshare_until_none_is_above(spark):
         assert got == {s: pytest.approx(x) for s, x in plain_targets(sizes).items()}
 
 
-def test_runs_do_not_change_the_order(spark, docs, monkeypatch):
-    want = {r.doc_id: r.taken for r in mixing.mix_documents(docs).collect()}
-    monkeypatch.setattr(mixing, "RUN_ROWS", 2)
-    assert {r.doc_id: r.taken for r in mixing.mix_documents(docs).collect()} == want
-
-
 # Repeated rows and null ids
 
 
@@ -503,7 +562,8 @@ def test_repeated_rows_and_null_ids(spark):
         assert Counter(r.doc_id for r in made.select("doc_id").collect()) == Counter({1: 2, None: 2, 2: 1})
     assert simhash.deduplicate(df).count() == 3
     mixed = mixing.mix_documents(df).collect()
-    assert abs(sum(r.taken for r in mixed) - sum(len((t or "").split()) for _, t, *_ in rows)) <= 2
+    assert sum(r.taken for r in mixed) == sum(len((t or "").split()) for _, t, *_ in rows)
+    assert chunking.repeated_documents(df).count() == 0
 
 
 @pytest.mark.parametrize("part", [decontaminate.PART_WORDS, 20])
@@ -526,4 +586,36 @@ def test_filters_judge_rows_not_ids(spark, monkeypatch, part):
 
 
 def test_base_reads_the_shared_folder_from_the_session(spark):
-    assert base.shared_dir(spark) == "/tmp/checkpoints"
+    copy = base.bounded(spark.range(1)).sparkSession
+    copy.conf.set("spark.checkpoint.dir", "file:///tmp/checkpoints/other/")
+    assert base.shared_dir(copy) == "file:///tmp/checkpoints/other"
+
+
+def test_bounded_leaves_the_session_alone(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, df = spark.conf.get(key), base.bounded(spark.range(50), 10)
+    assert spark.conf.get(key) == before and df.sparkSession.conf.get(key) == "10" and df.count() == 50
+    assert base.bounded(df, 20) is df
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    """A key of a third of the rows: the same rows as a plain join, from several tasks."""
+    monkeypatch.setattr(base, "HOT_ROWS", 50)
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id) as k")
+    few = base.materialize(rows.groupBy("k").agg(F.count("*").alias("rows"), F.max("id").alias("most")).where("k < 100"), "few")
+    for how in ("inner", "left"):
+        made = base.split_join(rows, few, ["k"], "rows", F.xxhash64("id"), how)
+        plain = rows.join(few, "k", how)
+        assert made.exceptAll(plain.select(*made.columns)).isEmpty() and made.count() == plain.count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    wide = {"spark.sql.shuffle.partitions": "12", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        tasks = base.split_join(rows, few, ["k"], "rows", F.xxhash64("id")).where("k = 7").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert len(tasks) > 4 and sum(r["count"] for r in tasks) == 1001
