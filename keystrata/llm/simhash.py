@@ -162,8 +162,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows of different components all stay, also those that share an id or have none.
     """
-    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    return first_of_each(docs, groups(slim, keep=("doc_id", "digest")))
+    return first_of_each(docs, groups(marked(docs), keep=("doc_id", "digest")))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, digest``."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
 
 
 def first_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 import pytest
 
 import corpus_pipeline
-from keystrata.llm import queries, simhash
+from keystrata.llm import queries
+from tests.llm.test_similar import jaccard, shingles
 from tests.oracle import compare, views
 
 SF = "/root/testdata/sf0.001"
@@ -25,8 +26,14 @@ def test_pipeline_stages(spark):
         assert after.columns == docs.columns
         gone = {r.doc_id for r in before.join(after, "doc_id", "left_anti").collect()}
         if name == "simhash":
-            comps = simhash.groups(before)
-            assert gone == {r.doc_id for r in comps.where("doc_id <> component_id").collect()}
+            # All copies but the least go, and nothing that shares little with what stays.
+            texts = {r.doc_id: r.text for r in before.collect()}
+            sets = {i: shingles(t) for i, t in texts.items()}
+            least = {}
+            for i in sorted(texts):
+                least.setdefault(texts[i], i)
+            assert {i for i, t in texts.items() if least[t] != i} <= gone
+            assert all(max(jaccard(sets[i], sets[j]) for j in texts if j != i) >= 0.7 for i in gone)
         elif name == "decontamination":
             want = views(SF).sql(queries.ORACLES["op4_decontamination"] + " WHERE coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)").fetchall()
             kept = {r.doc_id for r in before.collect()}
@@ -38,7 +45,11 @@ def test_pipeline_stages(spark):
             assert changed == spans & {r.doc_id for r in before.collect()}
         before = after
     mix = corpus_pipeline.STAGES[-1][1](spark, before, SF)
-    assert {r.doc_id for r in mix.collect()} == {r.doc_id for r in before.collect()}
-    assert abs(mix.selectExpr("sum(taken) - sum(size)").first()[0]) <= 20
+    assert mix.columns == [*docs.columns, "taken", "taken_rows"]
+    kept = {r.doc_id: r.text for r in before.collect()}
+    sizes = {i: len((t or "").split()) for i, t in kept.items()}
+    rows = mix.collect()
+    assert all(r.text == kept[r.doc_id] and 0 < r.taken <= 3 * sizes[r.doc_id] and r.taken_rows == 1 for r in rows)
+    assert sum(r.taken for r in rows) == sum(sizes.values())
     ran = corpus_pipeline.run(spark, SF)
     assert ran.exceptAll(mix).isEmpty() and mix.exceptAll(ran).isEmpty()
