@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import pytest
 import xxhash
@@ -585,10 +586,16 @@ def test_filters_judge_rows_not_ids(spark, monkeypatch, part):
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == len(rows)
 
 
-def test_base_reads_the_shared_folder_from_the_session(spark):
-    copy = base.bounded(spark.range(1)).sparkSession
-    copy.conf.set("spark.checkpoint.dir", "file:///tmp/checkpoints/other/")
-    assert base.shared_dir(copy) == "file:///tmp/checkpoints/other"
+def test_base_reads_the_shared_folder_from_the_session():
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda k, d=None: folder if k == "spark.checkpoint.dir" else d)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert base.shared_dir(session("spark://x:7077", "hdfs://a/b/")) == "hdfs://a/b"
+    assert base.shared_dir(session("local[4]")) == "/tmp/checkpoints"
+    for master in ("spark://x:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            base.shared_dir(session(master))
 
 
 def test_bounded_leaves_the_session_alone(spark):
