@@ -56,7 +56,7 @@ def key_of(partition: Column, address: Column, bits: int) -> Column:
 
 def integral_div(value: Column, by: int) -> Column:
     """Exact division of whole numbers, DECIMAL(20,0) included; the result is a BIGINT."""
-    return F.call_function("div", value, F.lit(by).cast("decimal(20,0)"))
+    return F.call_function("div", value, F.lit(str(by)).cast("decimal(20,0)"))
 
 
 def decimal_partition_of(key: Column, bits: int) -> Column:
@@ -67,11 +67,11 @@ def decimal_partition_of(key: Column, bits: int) -> Column:
 
 
 def decimal_address_of(key: Column, bits: int) -> Column:
-    return (key % F.lit(1 << bits).cast("decimal(20,0)")).cast("decimal(20,0)") if bits < 64 else key
+    return (key % F.lit(str(1 << bits)).cast("decimal(20,0)")).cast("decimal(20,0)") if bits < 64 else key
 
 
 def decimal_key_of(partition: Column, address: Column, bits: int) -> Column:
-    return address if bits >= 64 else (partition * F.lit(1 << bits).cast("decimal(20,0)") + address).cast("decimal(20,0)")
+    return address if bits >= 64 else (partition * F.lit(str(1 << bits)).cast("decimal(20,0)") + address).cast("decimal(20,0)")
 
 
 def byte_used(address: Column, at: int, kind: str = "bigint") -> Column:
@@ -119,9 +119,9 @@ def ipv4(text: Column) -> Column:
     return F.when(ok, value)
 
 
-def float_bits(value: Column) -> Column:
-    """The raw bits of a double, which tell -0.0 from 0.0 as grouping on the value does not."""
-    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), value).cast("bigint")
+def negative_zero(value: Column) -> Column:
+    """Whether a float is -0.0, which grouping and joining take for 0.0.  Their other values differ where their bits do, NaNs aside."""
+    return (value == 0) & value.cast("string").startswith("-")
 
 
 def micros(ts: str) -> Column:

@@ -3,8 +3,9 @@
 ``find`` and ``contains`` are equi-joins.  Floor, ceil, lower and upper bound are
 as-of joins with two ways to run:
 
-* a base of at most ``SMALL_ROWS`` numeric keys (counted first) is sorted once and
-  sent to all executors, where each batch of probes is searched; no probe moves;
+* a base of at most ``SMALL_ROWS`` numeric keys and ``SMALL_BYTES`` of flat fields
+  (counted first) is sorted once and sent to all executors, where each batch of
+  probes is searched; no probe moves;
 * any other base is put next to the probes by window over ranges of keys, and a
   range without an answer takes it from the nearest range that has one.  Ranges
   are at most ``RANGES``, so the table of their ends stays small at any size.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.widths import integral_div
 from ..sources.storage import ensure_checkpoints
 
-SMALL_ROWS = 200_000
+SMALL_ROWS, SMALL_BYTES = 200_000, 64 << 20
 RANGES = 4096
 #: A range of equal width may hold so many rows, or so many times its even share; fuller ones make the ranges quantiles.
 FULL_ROWS, FULL_SHARE = 1 << 20, 4
@@ -72,7 +73,7 @@ def as_of(probes: DataFrame, base: DataFrame, how: str, fields: list[str], parti
         return probes.select("*", *(F.lit(None).cast(dict(base.dtypes)[c]).alias(f"{prefix}{c}") for c in payload))
     slim = base.select(*payload)
     if strategy == "auto":
-        strategy = "broadcast" if numeric and slim.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else "window"
+        strategy = "broadcast" if numeric and _small(slim) else "window"
     if strategy == "broadcast":
         return _search(probes, slim, how, payload, partition, address, prefix)
     key = [partition, address]
@@ -87,6 +88,15 @@ def as_of(probes: DataFrame, base: DataFrame, how: str, fields: list[str], parti
     return probes.join(back, key, "left")
 
 
+def _small(base: DataFrame) -> bool:
+    """Whether a base of flat columns is within the bounds of what is sent to all executors."""
+    if any(kind.split("<")[0] in ("array", "map", "struct", "variant") for _, kind in base.dtypes):
+        return False
+    long = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in base.dtypes if kind in ("string", "binary")]
+    row = base.limit(SMALL_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(long, F.lit(0)) + 16 * len(base.columns)), F.lit(0)).alias("size")).first()
+    return row.n <= SMALL_ROWS and row["size"] <= SMALL_BYTES
+
+
 def _search(probes: DataFrame, base: DataFrame, how: str, payload: list[str], partition: str, address: str, prefix: str) -> DataFrame:
     """Binary search of each batch in the sorted base, which is held as Arrow columns by every worker."""
     back, same = WAYS[how]

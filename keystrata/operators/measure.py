@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.widths import byte_used, exact_width_for, float_bits, width_column
-from ..plans.layout import field_layouts, ref_width
-from ..plans.model import BuildError, Measures, Options, Schema
+from ..functions.widths import byte_used, exact_width_for, negative_zero, width_column
+from ..plans.layout import FieldLayout, field_layouts, ref_width
+from ..plans.model import SPARK_TYPES, BuildError, Measures, Options, Schema
 from ..sources.storage import ensure_checkpoints
 
 
-def tuple_key(schema: Schema, exact: bool = True) -> Column:
-    """The whole value tuple; with ``exact`` floats compare by their bits."""
-    return F.struct(*(float_bits(F.col(f.name).cast("double")).alias(f.name) if exact and f.kind in ("f32", "f64") else F.col(f.name) for f in schema.fields))
+FLOATS = ("f32", "f64")
+
+
+def tuple_key(schema: Schema) -> Column:
+    """The whole value tuple; -0.0 and 0.0 differ, as their bits do, and all NaNs are alike."""
+    each = lambda f: F.struct(F.col(f.name).alias("v"), negative_zero(F.col(f.name)).alias("z")).alias(f.name) if f.kind in FLOATS else F.col(f.name)
+    return F.struct(*map(each, schema.fields))
 
 
 def duplicate_keys(records: DataFrame, partition: str = "partition", address: str = "address") -> DataFrame:
@@ -59,7 +63,35 @@ def remap_table(records: DataFrame, value_id: str = "value_id") -> DataFrame:
 
 
 def distinct_tuples(records: DataFrame, schema: Schema) -> DataFrame:
-    return records.select(*schema.names).distinct()
+    """One row for each value tuple, as ``tuple_key`` tells them apart; the zeros get their signs back, which grouping drops."""
+    floats = [f for f in schema.fields if f.kind in FLOATS]
+    rows = records.select(*schema.names, *(negative_zero(F.col(f.name)).alias(f"__z_{f.name}") for f in floats)).distinct()
+    for f in floats:
+        rows = rows.withColumn(f.name, F.when(F.col(f"__z_{f.name}"), F.lit(-0.0).cast(SPARK_TYPES[f.kind])).otherwise(F.col(f.name)))
+    return rows.select(*schema.names)
+
+
+def same_tuple(a: DataFrame, b: DataFrame, schema: Schema) -> Column:
+    """Whether rows of two tables hold the same value tuple."""
+    out = F.lit(True)
+    for f in schema.fields:
+        out = out & a[f.name].eqNullSafe(b[f.name])
+        if f.kind in FLOATS:
+            out = out & (negative_zero(a[f.name]) == negative_zero(b[f.name]))
+    return out
+
+
+def encoded(records: DataFrame, layout: list[FieldLayout], dictionaries: dict[str, DataFrame]) -> DataFrame:
+    """``partition, address`` and the fields as a record holds them: numbers less their bias, texts as ids of their dictionary."""
+    rows, out = records, []
+    for i, f in enumerate(layout):
+        if f.kind == "text":
+            ids = dictionaries[f.name].select(F.col("text").alias(f"__t{i}"), F.col("dict_id").alias(f"__d{i}"))
+            rows = rows.join(ids, F.col(f.name) == F.col(f"__t{i}"), "left")
+            out.append(F.col(f"__d{i}").alias(f.name))
+        else:
+            out.append((F.col(f.name) - F.lit(f.bias)).alias(f.name) if f.kind in ("uint", "sint") else F.col(f.name))
+    return rows.select("partition", "address", *out)
 
 
 def directory(records: DataFrame, schema: Schema, width: int = 8, value: Column | None = None) -> DataFrame:

@@ -70,16 +70,16 @@ def find_orders(spark: SparkSession, d: str) -> DataFrame:
     return lookup.find(_keyed(probes, "q"), base, ["partition", "address"]).select("line", "q", "custkey", "priority")
 
 
-@_query("SELECT q FROM (SELECT user_id * 7 AS q, event_id FROM events) p WHERE EXISTS (SELECT 1 FROM events e WHERE e.event_id = p.q)")
+@_query("SELECT q FROM (SELECT user_id * 7 AS q, event_id FROM events) p WHERE EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'purchase' AND e.event_id = p.q)")
 def contains_events(spark: SparkSession, d: str) -> DataFrame:
     probes = _keyed(table(spark, d, "events").select((F.col("user_id") * 7).alias("q")), "q")
-    return lookup.contains(probes, _events(spark, d), ["partition", "address"]).select("q")
+    return lookup.contains(probes, _purchases(spark, d), ["partition", "address"]).select("q")
 
 
-@_query("SELECT q FROM (SELECT user_id * 7 AS q, event_id FROM events) p WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id = p.q)")
+@_query("SELECT q FROM (SELECT user_id * 7 AS q, event_id FROM events) p WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'purchase' AND e.event_id = p.q)")
 def missing_events(spark: SparkSession, d: str) -> DataFrame:
     probes = _keyed(table(spark, d, "events").select((F.col("user_id") * 7).alias("q")), "q")
-    return lookup.missing(probes, _events(spark, d), ["partition", "address"]).select("q")
+    return lookup.missing(probes, _purchases(spark, d), ["partition", "address"]).select("q")
 
 
 @_query("SELECT e.event_id AS q, EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.event_id = e.event_id) AS found FROM events e")
@@ -117,19 +117,19 @@ def floor_at_user_ts(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("partition").alias("q_user"), F.col("address").alias("q_micros"), F.col("got_partition").alias("user_id"), F.col("got_address").alias("us"), F.col("got_event_id").alias("event_id"))
 
 
-_WIDE = "SELECT doc_id, substr(md5(doc_id::VARCHAR), 1, 4) AS p, substr(md5(doc_id::VARCHAR), 5) AS a FROM documents"
+_WIDE = "SELECT doc_id, lang, substr(md5(doc_id::VARCHAR), 1, 4) AS p, substr(md5(doc_id::VARCHAR), 5) AS a FROM documents"
 
 
 def _wide(spark: SparkSession, d: str, how: str) -> DataFrame:
     raw = F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary")))
-    rows = table(spark, d, "documents").select("doc_id", F.conv(F.hex(F.substring(raw, 1, 2)), 16, 10).cast("bigint").alias("partition"), F.substring(raw, 3, 14).alias("address"))
-    base, probes = rows.where("doc_id % 3 = 0"), rows.where("doc_id % 3 <> 0").withColumnRenamed("doc_id", "q")
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.conv(F.hex(F.substring(raw, 1, 2)), 16, 10).cast("bigint").alias("partition"), F.substring(raw, 3, 14).alias("address"))
+    base, probes = rows.where("lang = 'en'"), rows.withColumnRenamed("doc_id", "q")
     got = lookup.as_of(probes, base, how, ["doc_id"], prefix="got_", repeats=False)
     return got.select("q", F.col("got_doc_id").alias("doc_id"))
 
 
 def _wide_sql(op: str) -> str:
-    return f"SELECT p.doc_id AS q, b.doc_id AS doc_id FROM (SELECT * FROM ({_WIDE}) WHERE doc_id % 3 <> 0) p ASOF LEFT JOIN (SELECT doc_id, p || a AS k FROM ({_WIDE}) WHERE doc_id % 3 = 0) b ON p.p || p.a {op} b.k"
+    return f"SELECT p.doc_id AS q, b.doc_id AS doc_id FROM ({_WIDE}) p ASOF LEFT JOIN (SELECT doc_id, p || a AS k FROM ({_WIDE}) WHERE lang = 'en') b ON p.p || p.a {op} b.k"
 
 
 @_query(_wide_sql(">="))

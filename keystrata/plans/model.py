@@ -17,15 +17,14 @@ class BuildError(ValueError):
 class Status(Enum):
     """Why a dataset does or does not open."""
 
-    OK = "ok"
-    TOO_SMALL = "region too small"
-    BAD_MAGIC = "bad magic"
-    BAD_VERSION = "unsupported format version"
-    BAD_SIZE = "image size does not match region length"
-    BAD_DIRECTORY = "corrupt partition directory"
-    BAD_SCHEMA = "corrupt or inconsistent schema"
-    BAD_DICTIONARY = "corrupt dictionary"
-    BAD_USER_REGION = "corrupt user region"
+    OK = "opened"
+    TOO_SMALL = "the folder has no manifest"
+    BAD_MAGIC = "the manifest is of another format"
+    BAD_VERSION = "the manifest is of a version that this engine does not read"
+    BAD_SIZE = "the records are missing, or not as many as the manifest says"
+    BAD_DIRECTORY = "the directory disagrees with the records"
+    BAD_SCHEMA = "the manifest's schema or key does not describe the tables"
+    BAD_DICTIONARY = "values or texts have gaps, or are missing where records refer to them"
 
 
 class FormatError(ValueError):

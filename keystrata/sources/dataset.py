@@ -2,7 +2,8 @@
 
 A dataset is a folder: ``records`` sorted by range of (partition, address),
 ``values`` where value tuples are interned, ``directory`` with one row per
-partition, and ``manifest`` with schema, key, options and report.
+partition, ``dictionary`` with the texts of each text field and their ids, and
+``manifest`` with schema, key, options and report.
 """
 
 from __future__ import annotations
@@ -54,12 +55,10 @@ class Built:
         if self.report.interned:
             self.values().write.mode("overwrite").parquet(f"{path}/values")
             values = spark.read.parquet(f"{path}/values")
-            same = [rows[n].eqNullSafe(values[n]) for n in self.schema.names]
-            cond = same[0]
-            for c in same[1:]:
-                cond = cond & c
-            rows = rows.join(values, cond).select("partition", "address", "value_id")
+            rows = rows.join(values, measure.same_tuple(rows, values, self.schema)).select("partition", "address", "value_id")
         rows.repartitionByRange("partition", "address").sortWithinPartitions("partition", "address").write.mode("overwrite").parquet(f"{path}/records")
+        for name in _texts(self.schema):
+            measure.text_dictionary(self.records, name).write.mode("overwrite").parquet(f"{path}/dictionary/{name}")
         slots = measure.directory(self.records, self.schema, self.report.address_width if binary else 8)
         measure.with_remap(slots, self.report.ref_width, self.options.remap).write.mode("overwrite").parquet(f"{path}/directory")
         write_json(spark, f"{path}/manifest", {
@@ -69,6 +68,10 @@ class Built:
         return self.report
 
 
+def _texts(schema: Schema) -> list[str]:
+    return [f.name for f in schema.fields if f.kind == "text"]
+
+
 def _default(kind: str, width: int) -> Column:
     return {"text": F.lit(""), "bytes": F.lit(b"\0" * width)}.get(kind, F.lit(0))
 
@@ -165,6 +168,7 @@ class Dataset:
         k = manifest["key"]
         self.key = Key(k["mode"], tuple(k["columns"]), k["bits"])
         self.report = Report(**manifest["report"])
+        self.layout = [FieldLayout(**x) for x in manifest["layout"]]
 
     # What it is
 
@@ -184,6 +188,26 @@ class Dataset:
     def field(self, name: str):
         return self.schema.find(name)
 
+    # Dictionaries
+
+    def dictionary(self, name: str) -> DataFrame:
+        """``text, dict_id`` of a text field, ids in the texts' order."""
+        return self.spark.read.parquet(f"{self.path}/dictionary/{name}")
+
+    def text_ids(self, rows: DataFrame, name: str, column: str, to: str = "dict_id") -> DataFrame:
+        """``rows`` with the id of the text in ``column``; null if the field has no such text."""
+        ids = self.dictionary(name).select(F.col("text").alias(column), F.col("dict_id").alias(to))
+        return rows.join(ids, column, "left")
+
+    def texts(self, rows: DataFrame, name: str, column: str, to: str = "text") -> DataFrame:
+        """``rows`` with the text whose id is in ``column``; null if there is none."""
+        ids = self.dictionary(name).select(F.col("dict_id").alias(column), F.col("text").alias(to))
+        return rows.join(ids, column, "left")
+
+    def encoded(self) -> DataFrame:
+        """The records as their layout holds them."""
+        return measure.encoded(self.records(), self.layout, {n: self.dictionary(n) for n in _texts(self.schema)})
+
     # Reading
 
     def records(self) -> DataFrame:
@@ -294,11 +318,22 @@ def _status(spark: SparkSession, path: str, verify: bool) -> tuple[Status, dict
     if n != report.records:
         return Status.BAD_SIZE, None
     here = slots.agg(F.count("*").alias("n"), F.countDistinct("partition").alias("d"), F.coalesce(F.sum("count"), F.lit(0)).alias("c"), F.coalesce(F.max((F.col("skip") + F.col("width") > report.address_width).cast("int")), F.lit(0)).alias("wide")).first()
+    # A slot count that no density explains, or a stride that its columns don't add up to, is not this directory's.
+    if report.directory_stride < 1 or report.record_stride != report.address_width + (report.ref_width if report.interned else report.value_stride):
+        return Status.BAD_DIRECTORY, None
     if here.n != here.d or here.n != report.partitions or here.c != n or here.wide:
         return Status.BAD_DIRECTORY, None
     counts = rows.groupBy("partition").agg(F.count("*").alias("k"))
     if not counts.join(slots, "partition", "full").where(~F.col("k").eqNullSafe(F.col("count"))).isEmpty():
         return Status.BAD_DIRECTORY, None
+    for name in _texts(schema):
+        try:
+            held = spark.read.parquet(f"{path}/dictionary/{name}")
+        except AnalysisException:
+            return Status.BAD_DICTIONARY, None
+        v = held.agg(F.count("*").alias("n"), F.countDistinct("dict_id").alias("d"), F.max("dict_id").alias("m")).first()
+        if set(held.columns) != {"text", "dict_id"} or v.n != v.d or (v.n and v.m != v.n - 1) or (n and not v.n):
+            return Status.BAD_DICTIONARY, None
     if report.interned:
         try:
             values = spark.read.parquet(f"{path}/values")

@@ -138,9 +138,42 @@ def test_dedup_give_up(spark):
     assert (r.dedup_abandoned, r.distinct_values) == (False, 3)
 
 
-def test_float_tuples_compare_by_bits(spark):
-    df = spark.createDataFrame([(1, 0.0), (2, -0.0), (3, 0.0)], "k bigint, v double")
-    assert build(df, keyed("k"), Schema.of(v="f64")).report.distinct_values == 2
+@pytest.mark.parametrize("interning", ["never", "always"])
+def test_floats_keep_their_bits(spark, tmp_path, interning):
+    values = [0.0, -0.0, 1.5, -0.0, float("nan"), float("inf"), float("nan"), -1.5, 0.0]
+    df = spark.createDataFrame([(i, x, x, "t") for i, x in enumerate(values)], "k bigint, v double, s float, t string")
+    b = build(df, keyed("k"), Schema.of(v="f64", s="f32", t="text"), Options(interning=interning))
+    assert b.report.distinct_values == 6 and b.values().count() == 6
+    b.write(str(tmp_path))
+    d = open_dataset(spark, str(tmp_path), verify=True)
+    rows = d.records().orderBy("address").collect()
+    assert [str(r.v) for r in rows] == [str(r.s) for r in rows] == [str(x) for x in values]
+    assert [str(r.v) for r in d.find(df.select(F.col("k").alias("q")), "q").orderBy("q").collect()] == [str(x) for x in values]
+
+
+def test_texts_and_ids(spark, tmp_path):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["b", "a", "", "b", "ü"])], "k bigint, t string")
+    for name, rows in (("full", df), ("none", df.limit(0))):
+        build(rows, keyed("k"), Schema.of(t="text")).write(str(tmp_path / name))
+    d = open_dataset(spark, str(tmp_path / "full"), verify=True)
+    assert [r.text for r in d.dictionary("t").orderBy("dict_id").collect()] == ["", "a", "b", "ü"]
+    asked = spark.createDataFrame([("a",), ("zzz",), ("ü",), (None,)], "x string")
+    assert {r.x: r.dict_id for r in d.text_ids(asked, "t", "x").collect()} == {"a": 1, "zzz": None, "ü": 3, None: None}
+    ids = spark.createDataFrame([(0,), (3,), (4,), (None,)], "i bigint")
+    assert {r.i: r.text for r in d.texts(ids, "t", "i").collect()} == {0: "", 3: "ü", 4: None, None: None}
+    assert [r.t for r in d.encoded().orderBy("address").collect()] == [2, 1, 0, 2, 3]
+    assert open_dataset(spark, str(tmp_path / "none"), verify=True).dictionary("t").count() == 0
+
+
+def test_long_fields_are_not_sent_to_all(spark, monkeypatch):
+    from keystrata.operators import lookup
+
+    monkeypatch.setattr(lookup, "SMALL_BYTES", 10_000)
+    rows = spark.range(40).select((F.col("id") * 3).alias("partition"), F.col("id").alias("address"), F.repeat(F.lit("x"), 500).alias("long"))
+    assert not lookup._small(rows) and lookup._small(rows.drop("long")) and not lookup._small(rows.withColumn("a", F.array("address")))
+    probes = spark.range(100).select(F.col("id").alias("partition"), F.lit(0).cast("bigint").alias("address"))
+    got = lookup.as_of(probes, rows, "ceil", ["long"], prefix="got_")
+    assert got.where("got_long is null and partition < 117").isEmpty()
 
 
 def test_dry_run_and_size_limit(spark, tmp_path):
