@@ -9,20 +9,23 @@ regression gives a weight matrix, and texts are scored in batches by two matrix
 products: presence by landmarks, landmarks by languages.
 
 The fit uses about ``SAMPLE`` training rows of each language at most (a hash of
-the id chooses); only their presence sets come to the driver.
+id and text chooses, and rows alike in both count once), and ``MOST_ROWS`` or so
+of all; only their presence sets come to the driver.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 rows whose language is null teach nothing; without training rows every text is
-``und``; ties go to the first language in order.
+``und``; ties go to the first language in order; rows that repeat, share an id
+or have none are each scored; very long texts are read in pieces; an empty table
+gives an empty result; only ``doc_id``, ``text`` and ``lang`` are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +33,14 @@ from .base import remainder
 
 SAMPLE = 250
 LANDMARKS = 48
+#: Rows of all languages at most, about.
+MOST_ROWS = 50_000
 #: Landmarks of all languages at most.
 MOST_LANDMARKS = 1024
 RIDGE = 1e-3
 ORDER = 3
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script; numbers such as fractions are none.
+_LETTER = regex.compile(r"\p{L}")
 _PIECE = 1 << 20
 
 
@@ -124,17 +130,19 @@ class Model:
 def fit(docs: DataFrame, modulus: int = 3, out: int = 1, size: int = SAMPLE) -> Model:
     """Learns from text and language of a bounded, evenly spread sample of training rows."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", modulus) != out))
-    share = F.lit(0)
-    for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect():
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1 << 30, int((1 << 30) * size / r.n)))).otherwise(share)
-    spread = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 34)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    size = max(1, min(size, MOST_ROWS // max(1, counts.count())))
+    counts = counts.select(F.col("lang").alias("of"), F.least(F.lit(1 << 30), F.floor(F.lit((1 << 30) * size) / F.col("n"))).alias("share"))
+    spread = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id", "text"), 34)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [presence(t) if _LETTER.search(t) else np.zeros(0, np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["spread", "lang", "grams"])
 
-    chosen = rows.where(spread < share).select(spread.alias("spread"), "lang", "text").mapInArrow(sets, "spread bigint, lang string, grams array<int>")
+    # One row for each language, as many as the model itself has to hold.
+    chosen = rows.withColumn("spread", spread).join(F.broadcast(counts), F.col("lang") == F.col("of")).where("spread < share").select("spread", "lang", "text")
+    chosen = chosen.groupBy("spread", "lang").agg(F.min("text").alias("text")).mapInArrow(sets, "spread bigint, lang string, grams array<int>")
     learnt = sorted(((r.spread, r.lang, np.array(r.grams, np.int32)) for r in chosen.collect() if r.grams), key=lambda x: (x[0], x[1], len(x[2])))
     return Model([x[2] for x in learnt], [x[1] for x in learnt])
 
