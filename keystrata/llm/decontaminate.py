@@ -7,13 +7,18 @@ The shingle's place in the window fixes where the window would lie, which the
 document's bounds must allow (positions and length), and there its words are
 compared one by one.
 
-The benchmark is read in parts of ``PART_WORDS`` words at most, each sent to all
-executors; a larger benchmark has more parts, every one of which is joined with
-all documents, and the parts' hits are put together by document.
+The benchmark is read in parts of ``PART_WORDS`` words or so, each sent to all
+executors; a larger benchmark has more parts.  They are taken one by one: a part
+is indexed, joined with all documents and dropped before the next one is read,
+and the parts' hits are put together by row.
 
 Defined results: a null text or item has no words and hits nothing; an item
 shorter than a window is one window; items that repeat count as often as they
-have different ids; documents that repeat are each reported.
+have different ids; an item without an id hits and counts as one item, but has
+no part in the digest of ids; ids are written as Spark casts them to text;
+documents that repeat, share an id or have none are each judged by their own
+text; very long texts take memory in proportion; empty tables hit nothing; only
+``doc_id``, ``text`` and ``item_id`` are read, and a filter keeps all columns.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import materialize, unused
 
 #: Words are what is left between these characters; A-Z are lower-cased.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -110,7 +115,7 @@ def covered(spans: list[tuple[int, int]]) -> int:
 
 def _parts(benchmark: DataFrame) -> list[DataFrame]:
     """The benchmark's words in parts of bounded size."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
     words = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
     parts = -(-words // PART_WORDS)
     return [rows.where(F.pmod(F.xxhash64(F.col("item_id")), F.lit(parts)) == i) for i in range(parts)]
@@ -143,8 +148,8 @@ def _verdict(n_hit: int, n_words: int) -> bool:
 
 def _found(spans: list[tuple[int, int]], items: list, n_words: int) -> tuple:
     """Words hit, number and digest of items, verdict."""
-    n_hit, ids = covered(spans), sorted({str(i) for i in items})
-    return n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), _verdict(n_hit, n_words)
+    n_hit, ids = covered(spans), set(items)
+    return n_hit, len(ids), hashlib.sha256(",".join(sorted(i for i in ids if i is not None)).encode()).hexdigest(), _verdict(n_hit, n_words)
 
 
 def _scan(which, close: bool):
@@ -158,7 +163,7 @@ def _scan(which, close: bool):
                 words = words_of(text)
                 found = windows.hits(words) if windows else []
                 spans = list(dict.fromkeys((a, b) for a, b, _ in found))
-                items = list(dict.fromkeys(str(i) for _, _, held in found for i in held))
+                items = list(dict.fromkeys(i for _, _, held in found for i in held))
                 rows.append((len(words), *(_found(spans, items, len(words)) if close else ([{"begin": a, "end": b} for a, b in spans], items))))
             yield _rows(batch.column(0), rows, close)
 
@@ -181,47 +186,50 @@ def _rows(ids: pa.Array, rows: list[tuple], close: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *(x.split()[0] for x in (_CLOSED if close else _OPEN).split(", "))])
 
 
-def _indexed(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> list:
-    return [_windows(docs, p, window, shingle) for p in _parts(benchmark)]
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> DataFrame:
+    """``docs`` as ``doc_id`` with ``n_words, spans, items``: word spans of the windows found, and ids of their items as text."""
+    return _hits(docs, _parts(benchmark), window, shingle)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, indexed: list | None = None) -> DataFrame:
-    """``docs`` as ``doc_id`` with ``n_words, spans, items``: word spans of the windows found, and ids of their items as text."""
+def _hits(docs: DataFrame, parts: list[DataFrame], window: int, shingle: int) -> DataFrame:
     slim = docs.select("doc_id", "text")
-    indexed = _indexed(slim, benchmark, window, shingle) if indexed is None else indexed
-    if len(indexed) < 2:
-        return slim.mapInArrow(_scan(indexed[0] if indexed else None, False), f"doc_id {dict(docs.dtypes)['doc_id']}, {_OPEN}")
+    if len(parts) < 2:
+        which = _windows(slim, parts[0], window, shingle) if parts else None
+        return slim.mapInArrow(_scan(which, False), f"doc_id {dict(docs.dtypes)['doc_id']}, {_OPEN}")
     # Several parts: rows get a number, frozen by writing it, by which the parts' hits meet.
     rows = materialize(slim.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row"))), "numbered")
-    numbered = f"doc_id {dict(rows.dtypes)['doc_id']}, {_OPEN}"
-    made = rows.mapInArrow(_scan(indexed[0], False), numbered)
-    for part in indexed[1:]:
-        made = made.unionByName(rows.mapInArrow(_scan(part, False), numbered))
+    made = None
+    for part in parts:
+        which = _windows(rows, part, window, shingle)
+        found = materialize(rows.mapInArrow(_scan(which, False), f"doc_id {dict(rows.dtypes)['doc_id']}, {_OPEN}"), "hits")
+        which.destroy()
+        made = found if made is None else made.unionByName(found)
+    # Every row is in the first part's hits, so rows without a hit stay.
     put = made.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     return put.withColumn("doc_id", F.col("doc_id")["doc_id"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> DataFrame:
     """One row per document: words, words hit, items, the items' digest and the verdict."""
-    slim = docs.select("doc_id", "text")
-    indexed = _indexed(slim, benchmark, window, shingle)
+    slim, parts = docs.select("doc_id", "text"), _parts(benchmark)
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, {_CLOSED}"
-    if len(indexed) < 2:
-        return slim.mapInArrow(_scan(indexed[0] if indexed else None, True), schema)
-    return hits(slim, benchmark, window, shingle, indexed).mapInArrow(_close, schema)
+    if len(parts) < 2:
+        return slim.mapInArrow(_scan(_windows(slim, parts[0], window, shingle) if parts else None, True), schema)
+    return _hits(slim, parts, window, shingle).mapInArrow(_close, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> DataFrame:
     """``docs`` without its contaminated rows, all columns kept; each row is judged by its own text, whatever its id."""
-    indexed = _indexed(docs.select("doc_id", "text"), benchmark, window, shingle)
-    if not indexed:
+    parts = _parts(benchmark)
+    if not parts:
         return docs
-    if len(indexed) > 1:
-        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-        slim = rows.select(F.col("__row").alias("doc_id"), "text")
-        bad = hits(slim, benchmark, window, shingle, indexed).mapInArrow(_close, f"doc_id bigint, {_CLOSED}").where("contaminated").select("doc_id")
-        return rows.join(bad.withColumnRenamed("doc_id", "__bad"), F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
-    which, at = indexed[0], docs.columns.index("text")
+    if len(parts) > 1:
+        row, other = (unused(docs.columns, c) for c in ("row", "bad"))
+        rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        slim = rows.select(F.col(row).alias("doc_id"), "text")
+        bad = _hits(slim, parts, window, shingle).mapInArrow(_close, f"doc_id bigint, {_CLOSED}").where("contaminated").select(F.col("doc_id").alias(other))
+        return rows.join(bad, F.col(row) == F.col(other), "left_anti").drop(row)
+    which, at = _windows(docs.select("doc_id", "text"), parts[0], window, shingle), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = which.value
