@@ -2,13 +2,16 @@
 
 Random Fourier features approximate a Gaussian kernel over standardised document
 statistics.  Each partition sums its part of the normal equations over all
-labelled training rows, the sums are added in two steps, and one small ridge
-system is solved.  Isotonic calibration over a histogram of all training scores
+labelled training rows, the sums are added by a tree of tasks, and one small
+ridge system is solved.  Isotonic calibration over a histogram of all training scores
 makes scores probabilities.
 
 Defined results: null and blank texts have statistics of zero and are scored
-like any other; null labels are left out, of two labels the higher holds;
-without training rows of both labels every score is the share of label 1, or 0.
+like any other; null labels and labels without an id are left out, of two labels
+the higher holds; rows that repeat, share an id or have none are each scored;
+very long texts are read whole, in memory proportional to them; without training
+rows of both labels every score is the share of label 1, or 0; an empty table
+gives an empty result; of the documents only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ WIDTH = 256
 GAMMA = 0.12
 RIDGE = 1.0
 BINS = 2000
+#: Partial sums added by one task.
+FAN = 16
 THRESHOLD = 0.5
 
 
@@ -66,7 +71,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sum(df: DataFrame) -> list[float] | None:
-    """Sums ``v``, an array of doubles on each row, element by element, first within groups of partitions, then over groups."""
+    """Sums ``v``, an array of doubles on each row, element by element: groups of ``FAN`` partitions, then groups of
+    those, until ``FAN`` rows at most come to the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -78,9 +84,13 @@ def _sum(df: DataFrame) -> list[float] | None:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
     n = df.rdd.getNumPartitions()
-    some = df.repartition(max(1, int(n**0.5))).mapInArrow(add, "v array<double>")
-    rows = some.collect()
-    return [sum(x) for x in zip(*(r.v for r in rows), strict=True)] if rows else None
+    while True:
+        n = max(1, -(-n // FAN))
+        df = df.repartition(n).mapInArrow(add, "v array<double>")
+        if n <= FAN:
+            break
+    rows = [np.array(r.v) for r in df.collect()]
+    return np.sum(rows, 0).tolist() if rows else None
 
 
 def fit(stats: DataFrame, labels: DataFrame, modulus: int = 3, out: int = 1) -> Model:
