@@ -15,8 +15,10 @@ block.  The block's documents meet these answers once; what scoring needs of
 them is written, and the weights are applied to that.
 
 Defined results: a null text is empty and has the end token only; without
-training documents N and V are 0; repeated rows are each counted and scored.
-N-grams are told apart by 64-bit hashes.
+training documents N and V are 0; rows that repeat, share an id or have none are
+each counted and scored; a very long text is part of one block, in memory
+proportional to it; an empty table gives an empty result; only ``doc_id`` and
+``text`` are read.  N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -143,6 +143,21 @@ def test_presence_kernel_is_the_kernel():
     assert m.kernel([language.presence(a)])[0, 1] == pytest.approx(want, abs=1e-5)
 
 
+def test_numbers_are_no_letters(spark):
+    made = [(i, "the thing and the other", "en") for i in range(20)] + [(100, "½ ² Ⅷ 12", None), (101, "ª", None), (102, "中", None)]
+    got = by_id(language.identify(spark.createDataFrame(made, "doc_id bigint, text string, lang string")))
+    assert got[100].lang_pred == "und" and got[101].lang_pred == got[102].lang_pred == "en"
+
+
+def test_rows_without_ids_are_sampled_like_others(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_ROWS", 40)
+    seen, model = [], language.Model
+    monkeypatch.setattr(language, "Model", lambda sets, langs: (seen.append(len(sets)), model(sets, langs))[1])
+    made = [(None, f"the thing {i} and", "en") for i in range(900)] + [(None, "die Sache", "de")] * 300
+    language.fit(spark.createDataFrame(made, "doc_id bigint, text string, lang string"))
+    assert 5 <= seen[0] <= 50
+
+
 # Language model
 
 
@@ -201,6 +216,16 @@ def plain_contamination(t, items):
     return len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(ws)
 
 
+def test_items_of_other_ids(spark):
+    """Ids that are no whole numbers are written as Spark writes them; an item without one hits and counts, but is not listed."""
+    docs = spark.createDataFrame([(1, "red green blue", 4), (2, "one two", 4)], "doc_id bigint, text string, row int")
+    for kind, ids, want in (("double", (1.0, 2.5), "1.0,2.5"), ("boolean", (True, False), "false,true"), ("string", ("b", None), "b")):
+        bench = spark.createDataFrame([(ids[0], "red green"), (ids[1], "green blue")], f"item_id {kind}, text string")
+        r = by_id(decontaminate.contamination(docs, bench))[1]
+        assert (r.n_hit, r.n_items, r.items_sha256) == (3, 2, hashlib.sha256(want.encode()).hexdigest())
+        assert decontaminate.decontaminate(docs, bench).collect() == docs.where("doc_id = 2").collect()
+
+
 @pytest.mark.parametrize("part", [decontaminate.PART_WORDS, 40])
 def test_decontamination(spark, docs, rows, none, monkeypatch, part):
     monkeypatch.setattr(decontaminate, "PART_WORDS", part)
@@ -312,6 +337,66 @@ def test_segments_are_maximal():
         assert got == [(round(s, 6), a, b) for s, a, b in plain(x, 0, len(x))]
 
 
+def test_segment_search_is_linear():
+    """A million tokens of the shapes that take long where candidates are walked through again."""
+    import time
+
+    import numpy as np
+
+    shapes = {
+        "clean": lambda n: np.random.default_rng(1).normal(-0.35, 0.8, n), "zigzag": lambda n: np.where(np.arange(n) % 2 == 0, 1.0, -1.5),
+        "rising": lambda n: np.where(np.arange(n) % 2 == 0, 1.5, -1.0), "nested": lambda n: np.where(np.arange(n) < n // 2, np.where(np.arange(n) % 2 == 0, 1.0, -0.9), np.where(np.arange(n) % 2 == 0, 1.0, -1.2)),
+    }
+    for name, make in shapes.items():
+        x = make(1_000_000)
+        began = time.process_time()
+        found = toxicity.segments(x)
+        assert time.process_time() - began < 20, name
+        total = np.concatenate([[0], np.cumsum(x)])
+        assert all(a < b and s == pytest.approx(total[b] - total[a], abs=1e-6) for s, a, b in found[:1000])
+
+
+def test_toxicity_scores_equal_plain_ones():
+    """Passages, their expected numbers and the document's sum, from token scores by brute force."""
+    import numpy as np
+
+    rng = random.Random(9)
+    model = toxicity.Model()
+    model.scores = {f"w{i}": rng.uniform(-2, 2.5) for i in range(40)}
+    model.scale, model.size = 0.7, 0.4
+    for _ in range(60):
+        toks = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(60))]
+        each = []
+        for i, w in enumerate(toks):
+            x = model.scores.get(w, 0.0) - toxicity.DRIFT
+            each.append(-toxicity.DRIFT if x > 0 and w in toks[max(0, i - toxicity.ECHO) : i] else x)
+        spans = {(a, b) for _, a, b in toxicity.segments(np.array(each, float))}
+        want = 0.0
+        for a, b in spans:
+            expected = model.size * len(toks) * math.exp(-model.scale * sum(each[a:b]))
+            want += -math.log(expected) if expected < 1 else 0
+        assert model.raw(toks) == pytest.approx(want, abs=1e-9)
+    # The scale solves E[exp(scale * score)] = 1.
+    values, counts = np.array([-1.0, -0.3, 0.5, 1.5]), np.array([50, 30, 12, 3])
+    model.law(values, counts, np.array([1.0, 2.0]), np.array([100.0, 100.0]))
+    assert (counts / counts.sum() * np.exp(model.scale * values)).sum() == pytest.approx(1, abs=1e-6)
+    assert model.size == pytest.approx(2 / (100 * math.exp(-model.scale) + 100 * math.exp(-2 * model.scale)))
+
+
+def test_isotonic_is_the_best_monotone_fit():
+    """Against the min-max formula."""
+    import numpy as np
+
+    from keystrata.llm.calibration import isotonic
+
+    rng = random.Random(10)
+    for _ in range(30):
+        x, y, w = zip(*((float(i), rng.randrange(2), rng.choice([1.0, 2.0, 5.0])) for i in range(rng.randrange(1, 15))), strict=True)
+        mean = lambda a, b: sum(w[k] * y[k] for k in range(a, b)) / sum(w[a:b])  # noqa: E731,B023
+        want = [max(min(mean(a, b) for b in range(i + 1, len(x) + 1)) for a in range(i + 1)) for i in range(len(x))]
+        assert isotonic(np.array(x), np.array(y, float), np.array(w))(np.array(x)).tolist() == pytest.approx(want)
+
+
 def test_toxicity(spark, none):
     rng = random.Random(8)
     made, labels = [], []
