@@ -187,19 +187,71 @@ def test_language_model_is_a_distribution_and_matches_plain_code(spark, monkeypa
     toks = {i: [*words(t), None] for i, t in made}
     uni = Counter(w for i, ws in toks.items() if crc(i, 7) != 2 for w in ws)
     two = Counter(p for i, ws in toks.items() if crc(i, 7) != 2 for p in zip([None, *ws], ws, strict=False))
+    three = Counter(p for i, ws in toks.items() if crc(i, 7) != 2 for p in zip([None, None, *ws], [None, *ws], ws, strict=False))
     n, v = sum(uni.values()), len(uni)
 
-    def p(a, w):
-        x = weights[min(math.ceil(math.log2(uni[a] + 1)), language_model.BUCKETS - 1)]
-        return x[0] * two[a, w] / max(uni[a], 1) + x[1] * uni[w] / n + x[2] / (v + 1)
+    def p(a, b, w):
+        # A text starts after two end tokens, which are counted once a text.
+        pair = uni[None] if a is b is None else two[a, b]
+        size = math.ceil(math.log2((pair or uni[b]) + 1))
+        x = weights[min(size, language_model.BUCKETS - 1) + (0 if pair else language_model.BUCKETS)]
+        return x[0] * three[a, b, w] / max(pair, 1) + x[1] * two[b, w] / max(uni[b], 1) + x[2] * uni[w] / n + x[3] / (v + 1)
 
-    for a in uni:
-        assert sum(p(a, w) for w in [*uni, "unseen"]) == pytest.approx(1)
+    for a, b in [(None, None), *((a, b) for a in uni for b in uni if b is not None)]:
+        assert sum(p(a, b, w) for w in [*uni, "unseen"]) == pytest.approx(1)
     for i, ws in toks.items():
-        assert got[i].score == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip([None, *ws], ws, strict=False)), rel=1e-9)
+        assert got[i].score == pytest.approx(sum(math.log10(p(a, b, w)) for a, b, w in zip([None, None, *ws], [None, *ws], ws, strict=False)), rel=1e-9)
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
+def test_weights_are_those_of_plain_deleted_interpolation(spark, tmp_path, monkeypatch):
+    """Held-out counts by block and expectation-maximisation, token by token with estimates in half bits and without."""
+    rng = random.Random(6)
+    follow = {w: rng.sample("abcdefgh", 3) for w in "abcdefgh"}
+    made = []
+    for i in range(90):
+        ws = ["a"]
+        for _ in range(rng.randrange(5, 60)):
+            ws.append(rng.choice(follow[ws[-1]]) if ws[-1] in follow and rng.random() < 0.8 else rng.choice("abcdefghij"))
+        made.append((i, " ".join(ws)))
+    made.append((90, " ".join(["b c"] * 900)))
+    spark.createDataFrame(made, "doc_id bigint, text string").coalesce(2).write.parquet(f"{tmp_path}/docs")
+    docs, seen, learn = spark.read.parquet(f"{tmp_path}/docs"), {}, language_model.learn
+    monkeypatch.setattr(language_model, "learn", lambda *a: seen.setdefault("w", learn(*a)))
+    language_model.score(docs)
+    blocks = {r.doc_id: r["__block"] for r in language_model._blocks(docs)[0].collect()}
+    assert len(set(blocks.values())) > 4 and sum(b == blocks[90] for b in blocks.values()) == 1
+    grams = {i: list(zip([None, None, *ws], [None, *ws], ws, strict=False)) for i, t in made if crc(i, 7) != 2 for ws in [[*t.split(), None]]}
+    types, events = len({g[2] for gs in grams.values() for g in gs}), {}
+    for block in set(blocks.values()):
+        rest = [g for i, gs in grams.items() if blocks[i] != block for g in gs]
+        c1, c2, c3 = Counter(g[2] for g in rest), Counter(g[1:] for g in rest), Counter(rest)
+        for i, gs in grams.items():
+            for a, b, w in gs if blocks[i] == block else ():
+                pair = c1[None] if a is b is None else c2[a, b]
+                k = min(math.ceil(math.log2((pair or c1[b]) + 1)), language_model.BUCKETS - 1) + (0 if pair else language_model.BUCKETS)
+                events.setdefault(k, []).append((c3[a, b, w] / max(pair, 1), c2[b, w] / max(c1[b], 1), c1[w] / len(rest), 1 / (types + 1)))
+    assert len(events) > 4
+
+    def plain(k, ps):
+        x = [0.4, 0.3, 0.25, 0.05] if k < language_model.BUCKETS else [0, 0, 0.9, 0.1] if k == language_model.BUCKETS else [0, 0.4, 0.5, 0.1]
+        for _ in range(language_model.ROUNDS):
+            shares = [[x[j] * q[j] / sum(a * b for a, b in zip(x, q, strict=True)) for j in range(4)] for q in ps]
+            x = [sum(s[j] for s in shares) / len(ps) for j in range(4)]
+        x[3] = max(x[3], 1e-4)
+        return [y / sum(x) for y in x]
+
+    lost, tokens = 0, 0
+    for k, ps in events.items():
+        halves = [[*(2 ** (-round(-2 * math.log2(f)) / 2) if f else 0 for f in q[:3]), q[3]] for q in ps]
+        assert list(seen["w"][k]) == pytest.approx(plain(k, halves), abs=1e-6), k
+        like = lambda y, ps=ps: sum(math.log(sum(a * b for a, b in zip(y, q, strict=True))) for q in ps)
+        lost, tokens = lost + like(plain(k, ps)) - like(seen["w"][k]), tokens + len(ps)
+    # What the steps cost over all tokens, in nats.
+    assert lost / tokens < 0.02
+
+
+
 # Decontamination
 
 
