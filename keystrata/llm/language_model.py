@@ -124,12 +124,15 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """``docs`` with ``__block`` and ``__class``, an order of length; about how many blocks and hash ranges there are.
 
     Blocks are rows of a class that lie together in a file.  The place in a file is the same whenever and however
-    the file is read.  What isn't read from files is written first.
+    the file is read.  What isn't read from files, or has a column named as Spark names a row's place, is written first.
     """
     try:
         docs.select("_metadata.row_index").schema  # noqa: B018
+        own = "_metadata" in map(str.lower, docs.columns)
     except AnalysisException:
-        docs = materialize(docs, "documents")
+        own = True
+    if own:
+        docs = materialize(docs.select("doc_id", "text"), "documents")
     n, total = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     total = total or 0
     growth = min(max(math.sqrt(total / ROOT_FROM), 1.0), MOST_GROWTH)
@@ -273,6 +276,9 @@ def _table(ids, held, lengths, known, base, payload, cells, counts, kind, end=0)
 
 def learn(cells: np.ndarray, counts: np.ndarray, types: int) -> np.ndarray:
     """Weights of triple, pair, word and uniform for each bucket, by expectation-maximisation on the histogram."""
+    # In a fixed order, so that sums of the same histogram agree to the last bit.
+    order = np.argsort(cells)
+    cells, counts = cells[order], counts[order]
     weights = np.array([[0.4, 0.3, 0.25, 0.05]] * BUCKETS + [[0, 0, 0.9, 0.1]] + [[0, 0.4, 0.5, 0.1]] * (BUCKETS - 1))
     three, two, one = cells // (STEPS1 * STEPS2) % STEPS3, cells // STEPS1 % STEPS2, cells % STEPS1
     estimate = lambda x: np.where(x > 0, 2.0 ** (-(x - 1) / 2), 0)

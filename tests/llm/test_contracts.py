@@ -204,6 +204,16 @@ def test_language_model_is_a_distribution_and_matches_plain_code(spark, monkeypa
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
+def test_language_model_leaves_other_columns_alone(spark, tmp_path):
+    made = [(i, f"a b {i % 3}" * (1 + i % 5)) for i in range(40)]
+    plain = spark.createDataFrame(made, "doc_id bigint, text string")
+    want = sorted(map(tuple, language_model.score(plain.coalesce(1)).collect()))
+    clash = plain.coalesce(1).selectExpr("*", "1 as __block", "'x' as __class", "2 as block", "named_struct('row_index', 0L) as _metadata")
+    assert sorted(map(tuple, language_model.score(clash).collect())) == want
+    clash.write.parquet(f"{tmp_path}/clash")
+    assert sorted(map(tuple, language_model.score(spark.read.parquet(f"{tmp_path}/clash")).collect())) == want
+
+
 def test_weights_are_those_of_plain_deleted_interpolation(spark, tmp_path, monkeypatch):
     """Held-out counts by block and expectation-maximisation, token by token with estimates in half bits and without."""
     rng = random.Random(6)
