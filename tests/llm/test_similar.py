@@ -71,6 +71,44 @@ def test_similar_texts_are_grouped(spark, monkeypatch, hot):
     assert similar.groups(docs.limit(0)).count() == 0
 
 
+def test_spanning_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(7)
+    for n, sure, most in [(2, 5, 30), (40, 0, 30), (40, 12, 30), (150, 10, 24), (60, 3, 3)]:
+        centres = rng.integers(0, 2**63, (max(1, n // 8), 3), dtype=np.uint64)
+        fp = centres[rng.integers(0, len(centres), n)].copy()
+        for row in fp:
+            for at in rng.integers(0, 192, rng.integers(0, 14)).tolist():
+                row[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+        far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2).astype(int)
+        links = similar.spanning_links(np.arange(n) + 100, fp, sure, most)
+        assert len(links) < n and all(far[a - 100, b - 100] == d <= most for a, b, d in links)
+        for limit in (sure, most):
+            made, wanted = list(range(n)), list(range(n))
+            for mine, pairs in ((made, [(a - 100, b - 100) for a, b, d in links if d <= limit]), (wanted, np.argwhere(far <= limit).tolist())):
+                for a, b in pairs:
+                    x, y = mine[a], mine[b]
+                    mine[:] = [x if v == y else v for v in mine]
+            assert all((made[a] == made[b]) == (wanted[a] == wanted[b]) for a in range(n) for b in range(n))
+
+
+def test_texts_about_the_limit_are_told_apart_by_their_shingles(spark):
+    """Pairs alone, of short and long texts, from 0.6 to 0.95: none below 0.8 is linked, nor many above missed."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(260):
+        n = rng.choice([12, 30, 80, 200, 500])
+        base = [f"w{rng.randrange(50000)}" for _ in range(n)]
+        edits = max(1, round(n * rng.uniform(0.005, 0.05)))
+        texts += [" ".join(base), " ".join(edited(rng, base, edits) if rng.random() < 0.6 else base + [f"z{rng.randrange(10**6)}" for _ in range(5 * edits)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    root = {r.doc_id: r.root for r in similar.groups(docs).collect()}
+    pairs = [(jaccard(shingles(texts[i]), shingles(texts[i + 1])), root[i] == root[i + 1]) for i in range(0, len(texts), 2)]
+    assert not [j for j, linked in pairs if linked and j < 0.8]
+    above, about = [x for j, x in pairs if j >= 0.85], [x for j, x in pairs if 0.8 <= j < 0.85]
+    assert len(about) > 15 and sum(above) >= 0.9 * len(above) and sum(about) >= 0.65 * len(about)
+    assert len(set(root.values())) == len(texts) - sum(x for _, x in pairs)
+
+
 def test_a_large_group_of_near_copies_is_one(spark, monkeypatch):
     """Every two of the group share all blocks but few: blocks are joined until none is too full."""
     monkeypatch.setattr(similar, "HOT", 20)
