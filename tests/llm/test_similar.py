@@ -128,3 +128,82 @@ def test_stage_drops_copies_with_a_few_edits(spark):
     assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() > 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
+def plain_groups(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        x, y = sorted((root[a], root[b]))
+        root = [x if v == y else v for v in root]
+    return root
+
+
+@pytest.mark.parametrize("hot", [similar.HOT, 7, 2])
+def test_full_blocks_lose_no_pair(spark, monkeypatch, hot):
+    """Pairs that share one block only, which many others share too, or all blocks with many others."""
+    monkeypatch.setattr(similar, "HOT", hot)
+    rng = np.random.default_rng(4)
+    bits_, blocks, width, sure, most = 8, 8, 2, 2, 12
+    fps = rng.integers(0, 2, (130, 128))
+    fps[:100, :8] = fps[0, :8]
+    near = fps[:30].copy()
+    for row in near:
+        row[8 * np.arange(1, 8) + rng.integers(0, 8, 7)] ^= 1
+    same = np.repeat(fps[:1], 40, 0)
+    for row in same:
+        row[64 + rng.choice(64, 6, replace=False)] ^= 1
+    fps = np.unique(np.concatenate([fps, near, same]), axis=0)
+    far = (fps[:, None] != fps[None]).sum(2)
+    block = fps[:, :64].reshape(len(fps), 8, 8)
+    met = (block[:, None] == block[None]).all(3).any(2)
+    nodes = spark.createDataFrame([(i, bytearray(np.packbits(row).tobytes())) for i, row in enumerate(fps)], "node bigint, fp binary")
+    links = [tuple(r) for r in similar.link(nodes, (bits_, blocks, width), sure, most).collect()]
+    assert all(far[a, b] == d <= most for a, b, d in links)
+    assert plain_groups(len(fps), [x[:2] for x in links]) == plain_groups(len(fps), np.argwhere(met & (far <= most)).tolist())
+
+
+@pytest.mark.parametrize(("hot", "part"), [(similar.HOT, None), (20, 300)])
+def test_refused_links_take_no_pair_along(spark, monkeypatch, hot, part):
+    """Every pair of 0.8 that shares a block and has few enough bits is in one group, and links below 0.8 are none."""
+    monkeypatch.setattr(similar, "HOT", hot)
+    monkeypatch.setattr(similar, "PART", part or 1 << 19, raising=False)
+    rng, texts = random.Random(2), []
+    for _ in range(60):
+        base = [f"w{rng.randrange(50000)}" for _ in range(200)]
+        third = edited(rng, base, rng.choice([4, 5]))
+        texts += [" ".join(edited(rng, base, k)) for k in (0, 1, 1, 2)] + [" ".join(third), " ".join(edited(rng, third, 1))]
+    sets = [shingles(t) for t in texts]
+    size, blocks, width = similar.plan(len(texts))
+    sure, most = similar.limits(width, similar.SIMILARITY)
+    fps = np.array([bits(similar.fingerprint(t, width)) for t in texts])
+    block = fps[:, : size * blocks].reshape(len(texts), blocks, size)
+    root = [r.root for r in sorted(similar.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())]
+    alike, sharp = [], []
+    for at in range(0, len(texts), 6):
+        for a in range(at, at + 6):
+            for b in range(a + 1, at + 6):
+                far, j = (fps[a] != fps[b]).sum(), jaccard(sets[a], sets[b])
+                if far <= sure or j >= 0.8:
+                    alike.append((a, b))
+                    if far <= most and (block[a] == block[b]).all(1).any():
+                        sharp.append((a, b))
+    assert not [x for x in sharp if root[x[0]] != root[x[1]]]
+    every = plain_groups(len(texts), alike)
+    assert all(every[a] == every[b] for a in range(len(texts)) for b in range(len(texts)) if root[a] == root[b])
+    assert len(set(every)) > 65
+
+
+def test_similar_labels_join_what_all_pairs_join():
+    rng = np.random.default_rng(8)
+    for parts in (1, 2):
+        for _ in range(30):
+            bases = [rng.integers(0, 1 << 62, rng.integers(1, 60), dtype=np.uint64).view(np.int64) for _ in range(3)]
+            grams = [np.unique(np.concatenate([rng.permutation(b)[rng.integers(0, 5) :], rng.integers(0, 99, rng.integers(0, 5))])) for b in bases for _ in range(12)]
+            label, part = rng.integers(0, 25, len(grams)), rng.integers(0, parts, len(grams))
+            got = similar.similar_labels(label, part, grams, 0.8)
+            two = len(set(part.tolist())) == 2
+            sets, n = [set(g.tolist()) for g in grams], len(grams)
+            # 5 x common >= 4 x all, without rounding.
+            near = [(a, b) for a in range(n) for b in range(a) if (not two or part[a] != part[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0]
+            assert set(got) <= {x for a, b in near for x in ((a, b), (b, a))}
+            assert plain_groups(25, [(label[a], label[b]) for a, b in got]) == plain_groups(25, [(label[a], label[b]) for a, b in near])
